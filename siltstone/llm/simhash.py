@@ -193,7 +193,7 @@ def _dense(y: np.ndarray, at: np.ndarray, radius: int, labels: Labels) -> None:
 
 
 def components(prints: DataFrame, radius: int = 2, shard_size: int = 16384, sample: int = 32768) -> DataFrame:
-    """prints: fp, id -> fp, component_id (the smallest id of the component), one row per fingerprint."""
+    """prints: fp, id -> fp, root (one fingerprint of the component), component_id (its smallest id), one row per fingerprint."""
     spark = prints.sparkSession
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("lo")), "simhash-distinct")
     n = distinct.count()
@@ -228,8 +228,8 @@ def components(prints: DataFrame, radius: int = 2, shard_size: int = 16384, samp
         joined = connected_components(edges, "a", "b").withColumnRenamed("node", "own")
         roots = roots.join(joined, "own", "left").select("fp", F.coalesce("component", "own").alias("own"))
     least = distinct.join(roots, "fp").groupBy("own").agg(F.min("lo").alias("least"))
-    grouped = roots.join(least, "own").select("fp", "least", F.lit(True).alias("linked"))
-    return distinct.join(grouped, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("lo")).alias("component_id"))
+    grouped = roots.join(least, "own").select("fp", "own", "least")
+    return distinct.join(grouped, "fp", "left").select("fp", F.coalesce("own", "fp").alias("root"), F.when(F.col("own").isNotNull(), F.col("least")).otherwise(F.col("lo")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -237,3 +237,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = fingerprints(docs, text_col, [F.col(id_col).alias("id")], width)
     out = prints.select("id", "fp").join(components(prints, radius), "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """Of each component the row with the smallest id (a null id only if there is no other), with the columns of docs."""
+    names = docs.columns
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)]).alias("row")
+    prints = fingerprints(docs, text_col, [docs[id_col].cast("long").alias("id"), row], width)
+    roots = components(prints.select("fp", "id"), radius).select("fp", "root")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("first")
+    kept = prints.select("uid", "fp", "id").join(roots, "fp").groupBy("root").agg(first).select(F.col("first.uid").alias("uid"))
+    out = prints.select("uid", "row").join(kept.hint("shuffle_hash"), "uid", "left_semi")
+    return out.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)])
