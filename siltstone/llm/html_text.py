@@ -250,7 +250,8 @@ def flow(node: Node, out: Lines) -> None:
             else:
                 flow(kid, out)
             continue
-        out.gap() if tag in SPACED else out.end()
+        spaced = tag in SPACED and not (tag in LISTS and node.tag in ("li", "dd"))  # lists within lists are tight
+        out.gap() if spaced else out.end()
         if tag == "pre":
             out.raw(verbatim(kid).strip("\n").expandtabs().split("\n"))
         elif tag == "hr":
@@ -271,7 +272,7 @@ def flow(node: Node, out: Lines) -> None:
                     flow(x, out)
         else:
             flow(kid, out)
-        out.gap() if tag in SPACED else out.end()
+        out.gap() if spaced else out.end()
 
 
 def verbatim(node: Node) -> str:
