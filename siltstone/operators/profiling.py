@@ -1,7 +1,9 @@
-"""Column profiles: one aggregation per table computes the statistics of all its columns.
+"""Column profiles: one aggregation over the cells of all tables computes every statistic.
 
-Every statistic is mergeable, so partial aggregates leave each task as one row. Distinct
-counts are HyperLogLog estimates and quantiles percentile_approx; `with_exact_distinct` and
+Rows are laid out as cells (column id, number, text) where they are scanned and aggregated
+there; what is shuffled is one row per task and column, and the plan has a handful of
+aggregates however many columns there are. Every statistic is mergeable. Distinct counts
+are HyperLogLog estimates and quantiles percentile_approx; `with_exact_distinct` and
 `with_exact_quantiles` put exact ones in their place, which cost a shuffle of the distinct
 values but never gather a column in one task.
 """
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import cells
-from siltstone.sources.catalog import Catalog, column_id
+from siltstone.sources.catalog import Attribute, Catalog
 
 
 @dataclass(frozen=True)
@@ -41,23 +43,24 @@ def _scrub(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(c)
 
 
-def column_statistics(db: str, source: str, f: T.StructField, text: Column, config: ProfileConfig) -> Column:
-    """The profile of one column as an aggregate struct; text: the cell as text."""
-    c, kind = F.col(f"`{f.name}`"), f.dataType
-    numeric = isinstance(kind, cells.NUMERIC)
-    none = F.lit(None)
-    x = c.cast("double") if numeric else none.cast("double")
-    filled = (c != 0) if numeric else cells.normal(text).isNotNull()
-    q = F.percentile_approx(F.abs(x) if config.abs_quantiles else x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(config.accuracy)) if numeric and config.quantiles else none.cast("array<double>")
-    semantic = semantic_struct(text) if config.semantic and not numeric and not isinstance(kind, T.BooleanType) else F.struct(none.cast("string").alias("type"), none.cast("string").alias("granularity"))
-    span = numeric and config.range
-    agg = lambda fn: _scrub(fn(x)) if span else none.cast("double")
-    return F.struct(
-        F.lit(column_id(db, source, f.name)).cast("long").alias("nid"), F.lit(db).alias("db"), F.lit(source).alias("source"), F.lit(f.name).alias("column_name"), F.lit("N" if numeric else "T").alias("data_type"),
-        F.count("*").alias("total"), F.count(c).alias("non_null"), F.count_if(filled).alias("non_empty"), (F.hll_sketch_estimate(F.hll_sketch_agg(text, F.lit(config.log2_k))) if config.cardinality else none.cast("long")).alias("unique_values"),
-        agg(F.min).alias("min_value"), agg(F.max).alias("max_value"), agg(F.avg).alias("avg_value"), agg(F.stddev_pop).alias("std_dev"),
-        q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), (q[2] - q[0]).alias("iqr"), semantic["type"].alias("semantic_type"), semantic["granularity"].alias("granularity"),
-    )
+def _cells(catalog: Catalog, attributes: list[Attribute], make) -> DataFrame:
+    """nid and the fields of make(column, kind) of every cell."""
+    parts = []
+    for source, table in catalog.tables.items():
+        own = [F.struct(F.lit(a.nid).cast("long").alias("nid"), *make(F.col(f"`{a.column_name}`"), a.kind)) for a in attributes if a.source == source]
+        if own:
+            parts.append(table.select(F.inline(F.array(*own))))
+    return reduce(DataFrame.union, parts)
+
+
+def _names(catalog: Catalog, attributes: list[Attribute]) -> DataFrame:
+    spark = next(iter(catalog.tables.values())).sparkSession
+    rows = [(a.nid, catalog.db, a.source, a.column_name, "N" if isinstance(a.kind, cells.NUMERIC) else "T") for a in attributes]
+    return spark.createDataFrame(rows, "nid long, db string, source string, column_name string, data_type string")
+
+
+def _squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def semantic_struct(text: Column, majority: float = 0.5) -> Column:
@@ -70,22 +73,31 @@ def semantic_struct(text: Column, majority: float = 0.5) -> Column:
     return hit.otherwise(F.struct(F.lit("NONE").alias("type"), F.lit(None).cast("string").alias("granularity")))
 
 
-def _squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
-
-
-def profile_table(db: str, source: str, table: DataFrame, config: ProfileConfig = ProfileConfig()) -> DataFrame:
-    fields = [f for f in table.schema.fields if isinstance(f.dataType, cells.SCALAR)]
-    texts = [cells.cell_text(F.col(f"`{f.name}`"), f.dataType) for f in fields]
-    # texts are made once below the aggregation, not once in each pattern
-    own = table.select(*[F.col(f"`{f.name}`") for f in fields], *[(x if isinstance(f.dataType, cells.NUMERIC) else _squeezed(x)).alias(f"_text{k}") for k, (f, x) in enumerate(zip(fields, texts))])
-    row = own.agg(*[column_statistics(db, source, f, F.col(f"_text{k}"), config).alias(f"p{k}") for k, f in enumerate(fields)])
-    return row.select(F.inline(F.array(*[f"p{k}" for k in range(len(fields))])))
-
-
-def profile(catalog: Catalog, config: ProfileConfig = ProfileConfig()) -> DataFrame:
-    """One row per column of every table (FIELDS)."""
-    return reduce(DataFrame.unionByName, [profile_table(catalog.db, s, t, config) for s, t in catalog.tables.items()])
+def profile(catalog: Catalog, config: ProfileConfig = ProfileConfig(), keep=None) -> DataFrame:
+    """One row per column of every table (FIELDS); what an analyzer that is off would fill is null. keep(Attribute) chooses columns."""
+    chosen = [a for a in catalog.attributes() if keep is None or keep(a)]
+
+    def make(c: Column, kind: T.DataType) -> list[Column]:
+        number = isinstance(kind, cells.NUMERIC)
+        text = cells.cell_text(c, kind) if config.cardinality or not number else F.lit(None).cast("string")
+        return [(c.cast("double") if number else F.lit(None).cast("double")).alias("x"), text.alias("t"), F.lit(number).alias("number"), c.isNotNull().alias("there")]
+
+    x, out = F.col("x"), {}
+    out["total"], out["non_null"] = F.count("*"), F.count_if("there")
+    out["non_empty"] = F.count_if(F.when(F.col("number"), x != 0).otherwise(cells.normal(F.col("t")).isNotNull()))
+    if config.cardinality:
+        out["unique_values"] = F.hll_sketch_estimate(F.hll_sketch_agg("t", F.lit(config.log2_k)))
+    if config.range:
+        out |= {"min_value": _scrub(F.min("x")), "max_value": _scrub(F.max("x")), "avg_value": _scrub(F.avg("x")), "std_dev": _scrub(F.stddev_pop("x"))}
+    if config.quantiles:
+        out["q"] = F.percentile_approx(F.abs(x) if config.abs_quantiles else x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(config.accuracy))
+    every = _cells(catalog, chosen, make).groupBy("nid").agg(*[c.alias(n) for n, c in out.items()]).join(_names(catalog, chosen), "nid")
+    if config.quantiles:
+        every = every.withColumns({"q25": F.col("q")[0], "median": F.col("q")[1], "q75": F.col("q")[2], "iqr": F.col("q")[2] - F.col("q")[0]})
+    if config.semantic:
+        every = every.join(semantic_types(catalog).select("nid", "semantic_type", "granularity"), "nid", "left")
+    fields = [f.split() for f in FIELDS.split(", ")]
+    return every.select(*[(F.col(n) if n in every.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
 def with_exact_distinct(profiles: DataFrame, values: DataFrame) -> DataFrame:
@@ -96,13 +108,9 @@ def with_exact_distinct(profiles: DataFrame, values: DataFrame) -> DataFrame:
 
 def number_counts(catalog: Catalog) -> DataFrame:
     """nid, x, cnt: distinct numbers of the numeric columns."""
-    parts = []
-    for source, table in catalog.tables.items():
-        own = [f for f in table.schema.fields if isinstance(f.dataType, cells.NUMERIC)]
-        if own:
-            pairs = F.array(*[F.struct(F.lit(column_id(catalog.db, source, f.name)).cast("long").alias("nid"), F.col(f"`{f.name}`").cast("double").alias("x")) for f in own])
-            parts.append(table.select(F.inline(pairs)).filter(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("nid", "x").agg(F.count("*").alias("cnt")))
-    return reduce(DataFrame.union, parts)
+    chosen = [a for a in catalog.attributes() if isinstance(a.kind, cells.NUMERIC)]
+    every = _cells(catalog, chosen, lambda c, _: [c.cast("double").alias("x")])
+    return every.filter(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("nid", "x").agg(F.count("*").alias("cnt"))
 
 
 def exact_quantiles(counts: DataFrame, shares: dict[str, float]) -> DataFrame:
@@ -121,25 +129,15 @@ def with_exact_quantiles(profiles: DataFrame, counts: DataFrame) -> DataFrame:
 
 def distinct_sketches(catalog: Catalog, log2_k: int = 12) -> DataFrame:
     """nid, sketch: mergeable HLL sketches, for profiles that grow (streaming/incremental.py)."""
-    parts = []
-    for source, table in catalog.tables.items():
-        fields = [f for f in table.schema.fields if isinstance(f.dataType, cells.SCALAR)]
-        row = table.agg(*[F.struct(F.lit(column_id(catalog.db, source, f.name)).cast("long").alias("nid"), F.hll_sketch_agg(cells.cell_text(F.col(f"`{f.name}`"), f.dataType), F.lit(log2_k)).alias("sketch")).alias(f"p{k}") for k, f in enumerate(fields)])
-        parts.append(row.select(F.inline(F.array(*[f"p{k}" for k in range(len(fields))]))))
-    return reduce(DataFrame.union, parts)
+    every = _cells(catalog, list(catalog.attributes()), lambda c, kind: [cells.cell_text(c, kind).alias("t")])
+    return every.groupBy("nid").agg(F.hll_sketch_agg("t", F.lit(log2_k)).alias("sketch"))
 
 
 def _per_text_column(catalog: Catalog, make, every: bool = False, prepare=F.trim) -> DataFrame:
-    """make(text column) gives an aggregate struct; one row per text column (or every scalar column)."""
-    parts = []
-    for source, table in catalog.tables.items():
-        fields = [f for f in table.schema.fields if isinstance(f.dataType, cells.SCALAR if every else (T.StringType, *cells.TEMPORAL))]
-        if not fields:
-            continue
-        own = table.select(*[prepare(cells.cell_text(F.col(f"`{f.name}`"), f.dataType)).alias(f"t{k}") for k, f in enumerate(fields)])
-        row = own.agg(*[F.struct(F.lit(source).alias("source"), F.lit(f.name).alias("column_name"), make(F.col(f"t{k}")).alias("x")).alias(f"p{k}") for k, f in enumerate(fields)])
-        parts.append(row.select(F.inline(F.array(*[f"p{k}" for k in range(len(fields))]))))
-    return reduce(DataFrame.unionByName, parts).select("source", "column_name", "x.*")
+    """make(text column) gives an aggregate struct; one row per text or time column (or every column)."""
+    chosen = [a for a in catalog.attributes() if every or isinstance(a.kind, (T.StringType, *cells.TEMPORAL))]
+    texts = _cells(catalog, chosen, lambda c, kind: [cells.cell_text(c, kind).alias("t")]).select("nid", prepare(F.col("t")).alias("t"))
+    return texts.groupBy("nid").agg(make(F.col("t")).alias("x")).join(_names(catalog, chosen), "nid").select("nid", "source", "column_name", "x.*")
 
 
 def semantic_types(catalog: Catalog, majority: float = 0.5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import textsearch
 from siltstone.operators.prefix import running_sums
+from siltstone.plans.shared import materialize
 
 CONTENT_SIM, SCHEMA_SIM, INCLUSION, PKFK, COMMON_NAME, NUMERIC_OVERLAP = "CONTENT_SIM", "SCHEMA_SIM", "INCLUSION_DEPENDENCY", "PKFK", "COMMON_NAME", "NUMERIC_OVERLAP"
 PAIR = ["source1", "column_name1", "source2", "column_name2"]
@@ -73,7 +74,7 @@ def numeric_overlaps(profiles: DataFrame, least: float = 0.85) -> DataFrame:
     """Columns whose interval [median - iqr, median + iqr] covers `least` of the other's. An interval join on a
     grid: every interval is entered in the cells of its own binary scale, and pairs meet in the coarser one's cells."""
     own = profiles.filter("iqr > 0").select("source", "column_name", (F.col("median") - F.col("iqr")).alias("lo"), (F.col("median") + F.col("iqr")).alias("hi"))
-    own = own.withColumn("scale", F.ceil(F.log2(F.col("hi") - F.col("lo"))).cast("int"))
+    own = materialize(own.withColumn("scale", F.ceil(F.log2(F.col("hi") - F.col("lo"))).cast("int")), "intervals")
     scales = own.select(F.col("scale").alias("level")).distinct()
     # an interval covers two cells of its own scale at most, and at most two of any coarser one
     at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
@@ -121,11 +122,13 @@ def dense_clusters(points: DataFrame, key: str, dims: list[str], eps: float, lea
     from siltstone.operators.components import connected_components
 
     cell = [F.floor(F.col(d) / eps).cast("long") for d in dims]
+    points = materialize(points.select(key, *dims), "points")
     own = points.select(F.col(key).alias("k"), *[F.col(d).alias(f"d{i}") for i, d in enumerate(dims)], *[c.alias(f"g{i}") for i, c in enumerate(cell)])
     shifts = F.array(*[F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(x)]) for x in product((-1, 0, 1), repeat=len(dims))])
     near = own.withColumn("s", F.explode(shifts)).select(F.col("k").alias("k2"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(len(dims))], *[(F.col(f"g{i}") + F.col(f"s.s{i}")).alias(f"g{i}") for i in range(len(dims))])
     distance = sum(((F.col(f"d{i}") - F.col(f"e{i}")) ** 2 for i in range(len(dims))), F.lit(0.0))
     pairs = own.join(near, [f"g{i}" for i in range(len(dims))]).filter(distance <= eps * eps).select("k", "k2")
+    pairs = materialize(pairs, "point-pairs")
     core = pairs.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("k")
     touching = pairs.join(core, "k").join(core.withColumnRenamed("k", "k2"), "k2")
     comp = connected_components(touching.filter("k < k2"), "k", "k2")

@@ -26,11 +26,11 @@ def column_values(catalog: Catalog, keep=None) -> DataFrame:
         own = [a for a in chosen if a.source == source]
         if own:
             pairs = F.array(*[F.struct(F.lit(a.nid).alias("nid"), cells.normal(cells.cell_text(F.col(f"`{a.column_name}`"), a.kind)).alias("value")) for a in own])
-            # counted by table first: a table's columns meet no other table's
-            parts.append(table.select(F.inline(pairs)).filter(F.col("value").isNotNull()).groupBy("nid", "value").agg(F.count("*").alias("cnt")))
+            parts.append(table.select(F.inline(pairs)).filter(F.col("value").isNotNull()))
     spark = next(iter(catalog.tables.values())).sparkSession
     names = spark.createDataFrame([(a.nid, a.source, a.column_name) for a in chosen], "nid long, source string, column_name string")
-    every = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "nid long, value string, cnt long")
+    cells_of = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "nid long, value string")
+    every = cells_of.groupBy("nid", "value").agg(F.count("*").alias("cnt"))  # one shuffle for all tables
     return every.join(names, "nid").select("nid", "source", "column_name", "value", "cnt")
 
 

@@ -44,13 +44,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def profiles(spark: SparkSession, folder: str, **config) -> DataFrame:
-    return profiling.profile(lake(spark, folder), profiling.ProfileConfig(**config))
+def profiles(spark: SparkSession, folder: str, keep=None, **config) -> DataFrame:
+    return profiling.profile(lake(spark, folder), profiling.ProfileConfig(**config), keep)
 
 
 def numeric_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Numeric columns with exact quantiles."""
-    p = profiles(spark, folder, semantic=False, cardinality=False, quantiles=False).filter("data_type = 'N'")
+    p = profiles(spark, folder, is_number, semantic=False, cardinality=False, quantiles=False)
     return profiling.with_exact_quantiles(p, profiling.number_counts(lake(spark, folder)))
 
 
@@ -65,14 +65,14 @@ NUM_SQL = "SELECT '{t}' AS source, '{c}' AS column_name, count(*) AS total, coun
 
 @query("profile_numeric", o.per_column(NUM_SQL, *o.NUMERIC))
 def profile_numeric(spark, folder):
-    p = profiling.with_exact_distinct(profiles(spark, folder, semantic=False, cardinality=False, quantiles=False), index(spark, folder, is_number))
-    return p.filter("data_type = 'N'").select("source", "column_name", "total", "non_null", "non_empty", "unique_values", "min_value", "max_value", r("avg_value", 4), r("std_dev", 4))
+    p = profiling.with_exact_distinct(profiles(spark, folder, is_number, semantic=False, cardinality=False, quantiles=False), index(spark, folder, is_number))
+    return p.select("source", "column_name", "total", "non_null", "non_empty", "unique_values", "min_value", "max_value", r("avg_value", 4), r("std_dev", 4))
 
 
 @query("profile_text", o.per_column("SELECT '{t}' AS source, '{c}' AS column_name, count(*) AS total, count({q}) AS non_null, count(" + o.norm("{x}") + ") AS non_empty, count(DISTINCT " + o.norm("{x}") + ") AS unique_values FROM {t}", "str", "time"))
 def profile_text(spark, folder):
-    p = profiling.with_exact_distinct(profiles(spark, folder, semantic=False, cardinality=False, quantiles=False), index(spark, folder, lambda a: not is_number(a)))
-    return p.filter("data_type = 'T'").select("source", "column_name", "total", "non_null", "non_empty", "unique_values")
+    p = profiling.with_exact_distinct(profiles(spark, folder, lambda a: not is_number(a), semantic=False, cardinality=False, quantiles=False, range=False), index(spark, folder, lambda a: not is_number(a)))
+    return p.select("source", "column_name", "total", "non_null", "non_empty", "unique_values")
 
 
 QUANT_SQL = "SELECT '{t}' AS source, '{c}' AS column_name, quantile_disc({q}::DOUBLE, 0.25) AS q25, quantile_disc({q}::DOUBLE, 0.5) AS median, quantile_disc({q}::DOUBLE, 0.75) AS q75 FROM {t}"
@@ -116,7 +116,7 @@ def _semantic_sql() -> str:
 
 @query("semantic_types", _semantic_sql())
 def semantic_types(spark, folder):
-    return profiling.semantic_types(lake(spark, folder))
+    return profiling.semantic_types(lake(spark, folder)).drop("nid")
 
 
 @query("cell_casting", o.per_column("SELECT '{t}' AS source, '{c}' AS column_name, count(v) AS n_numbers, round(coalesce(sum(v), 0), 2) AS sum_numbers FROM (SELECT CASE WHEN regexp_matches(trim({x}), '" + cells.NUMBER + "') THEN TRY_CAST(replace(trim({x}), ',', '') AS DOUBLE) END AS v FROM {t})"))
@@ -166,7 +166,7 @@ def profiles_by_ids(spark, folder):
 
 @query("comparable_columns", f"WITH {o.vals('str', 'time')} SELECT source, column_name, count(*) AS unique_values FROM vals GROUP BY ALL HAVING count(*) >= 10")
 def comparable_columns(spark, folder):
-    p = profiling.with_exact_distinct(profiles(spark, folder, semantic=False, cardinality=False, quantiles=False), index(spark, folder, lambda a: not is_number(a)))
+    p = profiling.with_exact_distinct(profiles(spark, folder, lambda a: not is_number(a), semantic=False, cardinality=False, quantiles=False, range=False), index(spark, folder, lambda a: not is_number(a)))
     return profiling.comparable(p).select("source", "column_name", "unique_values")
 
 
