@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import cells
+from siltstone.plans.shared import spread
 from siltstone.sources.catalog import Attribute, Catalog
 
 
@@ -47,9 +48,10 @@ def _cells(catalog: Catalog, attributes: list[Attribute], make) -> DataFrame:
     """nid and the fields of make(column, kind) of every cell."""
     parts = []
     for source, table in catalog.tables.items():
+        names = [F.col(f"`{a.column_name}`") for a in attributes if a.source == source]
         own = [F.struct(F.lit(a.nid).cast("long").alias("nid"), *make(F.col(f"`{a.column_name}`"), a.kind)) for a in attributes if a.source == source]
         if own:
-            parts.append(table.select(F.inline(F.array(*own))))
+            parts.append(spread(table.select(*names)).select(F.inline(F.array(*own))))
     return reduce(DataFrame.union, parts)
 
 

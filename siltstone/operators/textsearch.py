@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import cells
+from siltstone.plans.shared import materialize, spread
 
 CONTENT, SCHEMA, TABLE, ENTITIES, METADATA = "content", "schema", "table", "entities", "metadata"
 
@@ -32,23 +33,26 @@ def column_documents(values: DataFrame, query: str, domain: str = CONTENT) -> Da
     keys = ["source", "column_name"]
     terms = query_terms(query)
     if domain == CONTENT:
-        words = cells.terms(F.col("value"))
-        return values.groupBy(*keys).agg(F.sum(F.size(words)).alias("len"), *[F.sum(x).alias(f"tf{k}") for k, x in enumerate(_frequencies(words, terms))])
+        words = F.col("words")  # made once, below the aggregation
+        return values.select(*keys, cells.terms(F.col("value")).alias("words")).groupBy(*keys).agg(F.sum(F.size(words)).alias("len"), *[F.sum(x).alias(f"tf{k}") for k, x in enumerate(_frequencies(words, terms))])
     words = cells.name_terms(F.col("source" if domain == TABLE else "column_name"))
     return values.select(*keys).distinct().select(*keys, F.size(words).cast("long").alias("len"), *[x.alias(f"tf{k}") for k, x in enumerate(_frequencies(words, terms))])
 
 
 def row_documents(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """key, len, tf0, ...: a document per row; null text is an empty one."""
-    words = cells.terms(F.coalesce(F.col(text), F.lit("")))
-    return rows.select(key, F.size(words).cast("long").alias("len"), *[x.alias(f"tf{k}") for k, x in enumerate(_frequencies(words, query_terms(query)))])
+    words = F.col("words")
+    own = spread(rows.select(key, text)).select(key, cells.terms(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    return own.select(key, F.size(words).cast("long").alias("len"), *[x.alias(f"tf{k}") for k, x in enumerate(_frequencies(words, query_terms(query)))])
 
 
 def bm25(documents: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, conjunctive: bool = False) -> DataFrame:
-    """documents with score, those that hold a query term (conjunctive: all of them)."""
+    """documents with score, those that hold a query term (conjunctive: all of them). The counts of documents are
+    written to the shared folder, as they are read for the statistics and for the scores."""
     n_terms = len(query_terms(query))
     if not n_terms:
         return documents.withColumn("score", F.lit(0.0)).filter(F.lit(False))
+    documents = materialize(documents, "term-counts")
     df = [F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(n_terms)]
     stats = documents.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"), *df)
     hits = [F.col(f"tf{k}") > 0 for k in range(n_terms)]

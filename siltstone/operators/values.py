@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import cells
+from siltstone.plans.shared import materialize, spread
 from siltstone.sources.catalog import Catalog
 
 
@@ -26,7 +27,7 @@ def column_values(catalog: Catalog, keep=None) -> DataFrame:
         own = [a for a in chosen if a.source == source]
         if own:
             pairs = F.array(*[F.struct(F.lit(a.nid).alias("nid"), cells.normal(cells.cell_text(F.col(f"`{a.column_name}`"), a.kind)).alias("value")) for a in own])
-            parts.append(table.select(F.inline(pairs)).filter(F.col("value").isNotNull()))
+            parts.append(spread(table.select(*[F.col(f"`{a.column_name}`") for a in own])).select(F.inline(pairs)).filter(F.col("value").isNotNull()))
     spark = next(iter(catalog.tables.values())).sparkSession
     names = spark.createDataFrame([(a.nid, a.source, a.column_name) for a in chosen], "nid long, source string, column_name string")
     cells_of = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "nid long, value string")
@@ -43,8 +44,10 @@ def co_occurrence(index: DataFrame, item: list[str], owner: str) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("overlap"))
 
 
-def similarities(values: DataFrame) -> DataFrame:
-    """One row per pair of columns of different tables that share a value: names, sizes, overlap, jaccard, containment."""
+def similarities(values: DataFrame, written: bool = False) -> DataFrame:
+    """One row per pair of columns of different tables that share a value: names, sizes, overlap, jaccard, containment.
+    The index is written to the shared folder (unless it is `written` already), as sizes and overlaps both read it."""
+    values = values if written else materialize(values, "values")
     sizes = values.groupBy("nid").agg(F.first("source").alias("source"), F.first("column_name").alias("column_name"), F.count("*").alias("n"), F.sum("cnt").alias("filled"), F.max("cnt").alias("most"))
     side = lambda s: sizes.select(*[F.col(c).alias(f"{c}{s}") for c in sizes.columns])
     pairs = co_occurrence(values.select("nid", "value"), ["value"], "nid")

@@ -12,8 +12,9 @@ from siltstone.plans.column_queries import NAMES, ORACLES, PAIRS, PKFK_SQL, QUER
 from siltstone.plans.shared import materialize
 
 
-def content_edges(spark, folder) -> DataFrame:
-    found = relations.content_similar(vx.similarities(index(spark, folder)), 0.7)
+def content_edges(spark, folder, values: DataFrame | None = None) -> DataFrame:
+    pairs = vx.similarities(index(spark, folder)) if values is None else vx.similarities(values, written=True)
+    found = relations.content_similar(pairs, 0.7)
     return materialize(relations.as_edges(found, relations.CONTENT_SIM, "jaccard"), "content-edges")
 
 
@@ -161,8 +162,9 @@ def rs_tables(spark, folder):
 
 def _expanded(spark, folder) -> results.ResultSet:
     """Columns named like custkey and their neighbours."""
-    edges = content_edges(spark, folder)
-    found = materialize(textsearch.search(index(spark, folder), "custkey", textsearch.SCHEMA, limit=None), "hits")
+    v = materialize(index(spark, folder), "values")
+    edges = content_edges(spark, folder, v)
+    found = materialize(textsearch.search(v, "custkey", textsearch.SCHEMA, limit=None), "hits")
     base = results.from_search(found, "custkey")
     return base.union(base.neighbors(edges, relations.CONTENT_SIM))
 
@@ -240,7 +242,8 @@ def qbe_groups(spark, folder):
 
 
 def _first_view(spark, folder, spec) -> DataFrame:
-    for _, _, view in examples.views(lake(spark, folder), materialize(index(spark, folder), "values"), content_edges(spark, folder), spec):
+    v = materialize(index(spark, folder), "values")
+    for _, _, view in examples.views(lake(spark, folder), v, content_edges(spark, folder, v), spec):
         return view
     raise LookupError("no view fits the examples")
 

@@ -36,6 +36,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame, least: int = 1 << 20, per_core: int = 32 << 20) -> DataFrame:
+    """Deal a small input over all cores before work that costs more than reading it: its few row groups would keep
+    few cores busy. An input of `per_core` bytes a core or more is read as it lies, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if least <= size < cores * per_core else df
+
+
 def drop_shared(spark: SparkSession) -> None:
     """Delete what this application has materialized; results that read it must be done."""
     jvm = spark.sparkContext._jvm
