@@ -63,7 +63,10 @@ def csv_with_rejects(spark: SparkSession, path: str, sep: str = ",", schema: T.S
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in known.fields])
     marked = T.StructType([*text.fields, T.StructField("_malformed", T.StringType())])
     rows = spark.read.options(**options, columnNameOfCorruptRecord="_malformed", mode="PERMISSIVE").schema(marked).csv(path)
-    return rows.filter(F.col("_malformed").isNull()).drop("_malformed"), rows.filter(F.col("_malformed").isNotNull()).select("_malformed")
+    # whether a row is malformed depends on all its cells, so every query on it reads all of them: always true, but not to the optimizer
+    whole = F.hash(*[F.col(f"`{f.name}`") for f in text.fields]) >= -(2**31)
+    good, bad = rows.filter(F.col("_malformed").isNull() & whole), rows.filter(F.col("_malformed").isNotNull() & whole)
+    return good.drop("_malformed"), bad.select("_malformed")
 
 
 def _list_files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
