@@ -6,8 +6,8 @@ most `radius` bits; components of links are groups.
 
 1. Fingerprints are computed where the texts are scanned and written to the shared folder.
 2. Distinct fingerprints (a group of copies is one from here on) are dealt to shards by a
-   vantage-point tree. The tree is fitted on a bounded sample (`sample` fingerprints in
-   expectation, chosen by hash); every fingerprint is routed. At a node with vantage point
+   vantage-point tree. The tree is fitted on a bounded sample (`sample` fingerprints and an
+   eighth of all at most, in expectation, chosen by hash); every fingerprint is routed. At a node with vantage point
    v and radius m a fingerprint x goes inside if d(x, v) <= m, else outside; by the
    triangle inequality an outside fingerprint can link to an inside one only if
    d(x, v) <= m + radius, so only those are copied inside as well. Every linked pair then
@@ -197,10 +197,13 @@ def components(prints: DataFrame, radius: int = 2, shard_size: int = 16384, samp
     spark = prints.sparkSession
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("lo")), "simhash-distinct")
     n = distinct.count()
-    rate = min(1.0, sample / max(1, n))
-    chosen = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(rate * (1 << 20))).select("fp").orderBy("fp")
-    points = np.array([r[0] for r in chosen.collect()], np.int64).view(np.uint64)
-    root, n_shards = fit_tree(points, max(0, math.ceil(math.log2(max(1, n) / shard_size))), radius)
+    depth = max(0, math.ceil(math.log2(max(1, n) / shard_size)))
+    points = np.zeros(0, np.uint64)
+    if depth:
+        rate = min(1 / 8, sample / n)
+        chosen = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(rate * (1 << 20))).select("fp").orderBy("fp")
+        points = np.array([r[0] for r in chosen.collect()], np.int64).view(np.uint64)
+    root, n_shards = fit_tree(points, depth, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
