@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.plans.shared import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,7 +62,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
     rows = rows.withColumn("s", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))).withColumn("fine", F.substring("key", 1, 4))
     # a source's documents by hash range; the hot source is spread over all ranges
-    fine = rows.groupBy("s", "fine").agg(F.first("source").alias("source"), F.sum("size").alias("range_size")).withColumn("coarse", F.substring("fine", 1, 2))
+    fine = rows.groupBy("s", "fine").agg(F.first("source").alias("source"), F.sum("size").alias("range_size"))
+    fine = materialize(fine, "mix-ranges").withColumn("coarse", F.substring("fine", 1, 2))  # read twice; texts are not counted again
     coarse = fine.groupBy("s", "coarse").agg(F.first("source").alias("source"), F.sum("range_size").alias("size"))
     targets = source_targets(coarse.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
