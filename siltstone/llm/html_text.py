@@ -57,6 +57,8 @@ IMPLIED = {
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dir".split())
+SECTIONS = frozenset("tbody thead tfoot".split())
+ROWS = SECTIONS | {"tr", "form"}
 
 
 class Node:
@@ -306,28 +308,46 @@ def listing(node: Node) -> list[str]:
     return out
 
 
-def rows_of(node: Node) -> Iterator[Node]:
+def rows_of(node: Node, strays: list[Node | str]) -> Iterator[Node]:
+    """Rows of a table or section, cells outside of rows as a row of their own; what stands outside of rows goes to strays."""
+    loose = Node("tr", {})
     for kid in node.kids:
-        if isinstance(kid, Node) and visible(kid):
-            if kid.tag == "tr":
-                yield kid
-            elif kid.tag in ("tbody", "thead", "tfoot"):
-                yield from rows_of(kid)
+        if isinstance(kid, Node) and kid.tag in ("td", "th"):
+            loose.kids.append(kid)
+            continue
+        if isinstance(kid, str) and kid.isspace() or isinstance(kid, Node) and not visible(kid):
+            continue
+        if loose.kids and isinstance(kid, Node) and kid.tag in ROWS:
+            yield loose
+            loose = Node("tr", {})
+        if isinstance(kid, Node) and kid.tag == "tr":
+            yield kid
+        elif isinstance(kid, Node) and (kid.tag in SECTIONS or kid.tag == "form" and holds_rows(kid)):
+            yield from rows_of(kid, strays)
+        else:
+            strays.append(kid)
+    if loose.kids:
+        yield loose
+
+
+def holds_rows(form: Node) -> bool:
+    return any(isinstance(k, Node) and (k.tag in ROWS or k.tag in ("td", "th") or k.tag == "form" and holds_rows(k)) for k in form.kids)
 
 
 def table(node: Node) -> list[str]:
     head: list[str] = []
-    for kid in node.kids:  # captions, and text or elements that stand outside of rows
+    strays: list[Node | str] = []
+    rows = list(rows_of(node, strays))
+    for kid in strays:  # captions, and text or elements that stand outside of rows
         if isinstance(kid, str):
-            if not kid.isspace():
-                head.append(SPACE.sub(" ", kid).strip())
-        elif visible(kid) and kid.tag not in ("tr", "tbody", "thead", "tfoot"):
+            head.append(SPACE.sub(" ", kid).strip())
+        else:
             wrap = Node("div", {})
             wrap.kids = [kid]
             head += box(wrap)
     grid: list[list[tuple[int, int, list[str]]]] = []
     below: dict[int, int] = {}  # column -> rows that a cell above still covers
-    for tr in rows_of(node):
+    for tr in rows:
         row, col, stray = [], 0, Node("td", {})
         cells = []
         for kid in tr.kids:
