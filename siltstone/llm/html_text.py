@@ -4,8 +4,10 @@ The tokenizer is one regular expression; raw-text elements run to their end tag.
 builder closes what HTML closes by implication (paragraphs before blocks, list items, table
 rows and cells, options), ignores end tags that match nothing within their scope, and
 never fails. Invisible: head and its elements, scripts, styles, templates, noscript, media
-and form controls' data, `hidden`, `display:none`, `visibility:hidden`, closed dialogs, and
-all but the summary of closed details. All other text is emitted.
+and what stands in for them (iframe, object, video, audio, canvas), data lists, in svg all
+but text elements and embedded html, in math the annotations, `hidden`, `display:none`,
+`visibility:hidden`, closed dialogs, and all but the summary of closed details. All other
+text is emitted, that of text areas and of all options too.
 
 Layout: white space collapses outside `pre`; blocks start lines; paragraphs, headings,
 lists, quotes and tables keep a blank line around them; list items have bullets or numbers
@@ -36,9 +38,10 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
+HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object video audio canvas svg math datalist select input textarea area col colgroup param source track embed".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object video audio canvas datalist input area col colgroup param source track embed".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu dir".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer form header hgroup html legend li main nav search section summary caption tr tbody thead tfoot td th option optgroup".split())
 CLOSES_P = BLOCK - frozenset("body html option optgroup caption tr tbody thead tfoot td th legend".split())
@@ -57,6 +60,9 @@ IMPLIED = {
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dir".split())
+SVG_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker".split())
+#: these start tags end an open svg in a browser
+BREAKOUT = SPACED | frozenset("b big br center code dd div dt em embed i img li nobr ruby s small span strong strike sub sup tt u var".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
 ROWS = SECTIONS | {"tr", "form"}
 
@@ -81,6 +87,8 @@ def parse(html: str) -> Node:
 
     def text(s: str) -> None:
         if s:
+            if stack[-1].tag == "head" and not s.isspace():
+                stack.pop()
             stack[-1].kids.append(unescape(s) if "&" in s else s)
 
     def close_to(k: int) -> None:
@@ -134,7 +142,7 @@ def parse(html: str) -> Node:
             if GONE.search(attrs.get("style", "")) or "hidden" in attrs:
                 stack[-1].attrs.update(attrs)
             continue
-        if stack[-1].tag == "head" and tag in BLOCK:
+        if stack[-1].tag == "head" and tag not in HEAD:
             stack.pop()
         if open_p and tag in CLOSES_P:
             close_p()
@@ -153,12 +161,13 @@ def parse(html: str) -> Node:
                     break
         node = Node(tag, attributes(m[3]) if m[3] and not m[3].isspace() else {})
         stack[-1].kids.append(node)
-        if tag in VOID:
+        if tag in VOID or m[3].endswith("/") and any(n.tag in ("svg", "math") for n in stack):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            if tag == "textarea":
-                node.kids.append(unescape(html[at : end.start() if end else size]))
+            if tag in ("textarea", "xmp"):
+                inner = html[at : end.start() if end else size]
+                node.kids.append(unescape(inner) if tag == "textarea" else inner)
             at = end.end() if end else size
             continue
         if len(stack) < MOST_DEPTH:
@@ -247,8 +256,13 @@ def flow(node: Node, out: Lines) -> None:
                     out.start()
                     out.line.append("")
                 out.end()
-            elif tag == "wbr":
+            elif tag == "wbr" or node.tag == "semantics" and tag in ("annotation", "annotation-xml"):
                 pass
+            elif tag == "svg":
+                drawing(kid, out)
+            elif tag in ("textarea", "xmp"):
+                if (inner := verbatim(kid).strip("\n").expandtabs()) and not inner.isspace():
+                    out.raw(inner.split("\n"))
             else:
                 flow(kid, out)
             continue
@@ -277,6 +291,21 @@ def flow(node: Node, out: Lines) -> None:
         out.gap() if spaced else out.end()
 
 
+def drawing(node: Node, out: Lines) -> None:
+    """The text elements of an svg, and html in it."""
+    for kid in node.kids:
+        if isinstance(kid, str) or not visible(kid) or kid.tag in SVG_UNSEEN:
+            continue
+        if kid.tag in ("text", "foreignobject") or kid.tag in BREAKOUT or kid.tag in BLOCK:
+            wrap = Node("div", {})
+            wrap.kids = [kid]
+            out.text(" ")
+            flow(wrap, out)
+            out.text(" ")
+        else:
+            drawing(kid, out)
+
+
 def verbatim(node: Node) -> str:
     return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else verbatim(k) if visible(k) else "" for k in node.kids).replace("\r\n", "\n").replace("\r", "\n")
 

@@ -34,3 +34,23 @@ def test_no_word_of_broken_tables_is_lost():
         w = Words()
         w.feed(html := "<table>" + "".join(parts))
         assert sorted(re.findall(r"w\d+", html_text.render(html))) == sorted(re.findall(r"w\d+", " ".join(w.out))), html
+
+
+SHOWN = [
+    ("<head><title>t</title><font size=2><p>whole page<p>more", "whole page\n\nmore"),
+    ("<head><title>t</title>bare text<p>more", "bare text\n\nmore"),
+    ("<head><title>t</title><meta charset=x> <span>a</span> b", "a b"),
+    ("<head><style>no</style><script>no</script></head>a", "a"),
+    ("so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "so x=2 holds"),
+    ("<math><semantics><mi>x</mi><annotation>no</annotation></semantics></math>", "x"),
+    ("a<svg><title>no</title><defs><text>no</text></defs><rect/><g><path d='M0'/><text>in <tspan>it</tspan></text></g></svg>b", "a in it b"),
+    ("<svg><path d='M0'><p>after an open svg", "after an open svg"),
+    ("a <textarea>\nx\n  y &amp; z</textarea> b", "a\nx\n  y & z\nb"),
+    ("<select><option>one<option>two</select>", "one\ntwo"),
+    ("<xmp><b>as it is</b></xmp>", "<b>as it is</b>"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), SHOWN)
+def test_text_that_browsers_show(html, text):
+    assert html_text.render(html) == text
