@@ -10,8 +10,11 @@ types together. Training maximises the conditional likelihood on generated sente
 gradient ascent with forward and backward passes over segments; it takes a few seconds on
 the driver and its result, some hundred weights, goes to the executors.
 
-Only zones of the text that hold seven digits close together or a written-out "at"/"dot"
-are decoded; elsewhere every segment is outside the model's support, so this is exact.
+Only zones of the text are decoded: LONGEST tokens around a bracketed "at"/"dot", the word
+"dot", a plain "at" between a name and a domain, and seven digits without a letter between
+them. Elsewhere a segment is outside the model's support, or holds a plain "at" without a
+domain, whose score is below zero with whatever other features (`least_at` is checked in
+the tests), so decoding zones gives what decoding whole texts gives.
 Base spans stay and are walls: no added segment overlaps one.
 
 Defined results: null text counts as empty (no spans); repeated rows keep their rows; an
@@ -84,7 +87,10 @@ def base_spans(text: str) -> list[Span]:
 
 LONGEST = 17
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-ZONE = re.compile(r"[0-9](?:[ ().\-_\[\]/]{0,3}[0-9]){6,}|[\[({<]\s?(?:at|dot|\.)\s?[\])}>]|\bdot\b", re.I)
+SUFFIX = "com|org|net|edu|gov|info|io|eu|de|es|fr|it|nl|uk|us|ch|at"
+NUMERIC = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+STRETCH = re.compile(rf"[0-9](?:[\W\d_{NUMERIC}])*+")  # no letter
+SIGN = re.compile(rf"[\[({{<]\s?(?:at|dot|\.)\s?[\])}}>]|(?<=\s)dot(?=\s)|(?<=[a-z0-9._%+-]\s)at(?=\s[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{SUFFIX}))", re.I)
 AT = re.compile(r"\s?[\[({<]\s?at\s?[\])}>]\s?|\sat\s", re.I)
 DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s", re.I)
 CONTEXT = (
@@ -96,7 +102,7 @@ CONTEXT = (
 NATIONAL = re.compile(r"(?:1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}")
 TRUNK = re.compile(r"0[0-9]{1,4}[ /-]\s?[0-9]{2,8}(?:[ -][0-9]{2,6}){0,4}")
 INTERNATIONAL = re.compile(r"00[1-9][0-9]?(?:[ -]\(?[0-9]{1,6}\)?){2,6}")
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|info|io|eu|de|es|fr|it|nl|uk|us|ch|at)")
+SPELLED = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:" + SUFFIX + ")")
 N_FEATURES = 26
 
 
@@ -116,7 +122,7 @@ def features(text: str, start: int, end: int, before: str) -> np.ndarray | None:
     f[2] = f[1] and bool(re.search(r"[\[({<]", s))
     f[3] = plain.count("@") > 1 or (at and not f[1])
     parts = DOT.sub(".", s).split(".")
-    f[4] = dot and len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    f[4] = dot and len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts)
     f[5] = dot and letters > 0 and not at
     f[6] = n > 0 and not letters and n < 10
     f[7] = not letters and 10 <= n <= 12
@@ -136,7 +142,7 @@ def features(text: str, start: int, end: int, before: str) -> np.ndarray | None:
     for k, c in enumerate(CONTEXT):
         f[19 + k] = bool(c.search(before))
     near = text[max(0, start - 2) : start] + " " + text[end : end + 2]
-    f[23] = bool(re.search(r"[0-9@]|[-/._][0-9]|\w$", text[max(0, start - 2) : start])) and bool(re.search(r"\S$", text[:start][-1:])) or bool(re.match(r"[-/._]?[0-9]|[@\w]", text[end : end + 2]))
+    f[23] = bool(re.search(r"[0-9@]|[-/._][0-9]|\w$", text[max(0, start - 2) : start])) and bool(re.search(r"\S$", text[max(0, start - 1) : start])) or bool(re.match(r"[-/._]?[0-9]|[@\w]", text[end : end + 2]))
     f[24] = bool(re.search(r"[#$€£%]", near))
     f[25] = bool(re.search(r"\s{2}|\n", s))
     return f
@@ -274,17 +280,20 @@ def decode(text: str, zone: tuple[int, int], walls: list[Span], w: np.ndarray) -
     return out[::-1]
 
 
-def zones(text: str, margin: int = 48) -> Iterator[tuple[int, int]]:
-    """Ranges to decode, with room for a segment's other parts and the word before it; they break between tokens."""
+def least_at(w: np.ndarray) -> float:
+    """The highest score that a segment with a plain "at" but neither a spelled address nor a "dot" can have."""
+    free = [9, 17, *range(19, N_FEATURES)]
+    return float((w[:, 0] + w[:, 3] + np.maximum(w[:, free], 0).sum(axis=1)).max())
+
+
+def zones(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges to decode, with room for a segment's other parts and the words before it; they break between tokens."""
     now = None
-    for m in ZONE.finditer(text):
-        a, b = max(0, m.start() - margin), min(len(text), m.end() + margin)
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 2 * margin:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b - m.end() < 2 * margin:
-            b += 1
+    found = [m.span() for m in SIGN.finditer(text)] + [m.span() for m in STRETCH.finditer(text) if len(DIGITS.findall(m[0])) >= 7]
+    for start, end in sorted(found):
+        a, b = _before(text, start), _after(text, end)
         if now and a <= now[1]:
-            now = now[0], b
+            now = now[0], max(now[1], b)
         else:
             if now:
                 yield now
@@ -293,6 +302,26 @@ def zones(text: str, margin: int = 48) -> Iterator[tuple[int, int]]:
         yield now
 
 
+def _before(text: str, at: int) -> int:
+    """The start of the token LONGEST + 3 tokens before the position."""
+    reach = 64
+    while True:
+        low = max(0, at - reach)
+        tokens = [m.start() for m in TOKEN.finditer(text, low, at)]
+        if low == 0 or len(tokens) > LONGEST + 3:  # the first may be part of a token
+            return tokens[-LONGEST - 3] if len(tokens) > LONGEST + 3 else 0
+        reach *= 2
+
+
+def _after(text: str, at: int) -> int:
+    end = at
+    for k, m in enumerate(TOKEN.finditer(text, at)):
+        end = m.end()
+        if k == LONGEST:
+            break
+    return end
+
+
 def find(text: str | None, w: np.ndarray) -> tuple[list[Span], list[Span]]:
     """Base spans, all spans."""
     if not text:
