@@ -16,11 +16,15 @@
    don't count), and in the paraphrase range also by its answer: the words of the answer
    column, or else of the item's last sentence, must occur there.
 
+   An item longer than a window also matches by any window of it that is held in this way.
+
 Why the basis is fitted on the benchmark's passages: a basis of the corpus of the same rank
 spans its frequent words and loses the rare ones that tell passages apart.
 
 Defined results: null texts and items count as empty and match nothing; an item with fewer
-than `min_words` words is too short to tell and matches nothing; a match is one row per
+than `min_words` words matches only where its words stand in a row (and those of the answer
+column, if there is one, within a window around them), with cosine and share 1; the share of
+a match by a window of an item is that of the window; a match is one row per
 document row and item; repeated rows give repeated matches; empty tables give no match.
 Only the named columns are looked at.
 """
@@ -114,6 +118,16 @@ def randomised_svd(passages: DataFrame, weight: np.ndarray, rank: int, rounds: i
     return q @ u[:, keep]
 
 
+def grams(ids: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each n consecutive words."""
+    x = ids.astype(np.int64).view(np.uint64)
+    h = np.zeros(max(0, len(x) - n + 1), np.uint64)
+    for k in range(n):
+        h = (h ^ x[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
+
+
 class Item:
     """A benchmark item as word numbers, with what the checks need."""
 
@@ -147,14 +161,18 @@ class Item:
 class Matcher:
     """The search over one slice of the benchmark."""
 
-    def __init__(self, vocab, items, basis, weight, window, min_cos, min_cover, min_lcs, sure) -> None:
+    def __init__(self, vocab, items, basis, weight, window, min_cos, min_cover, min_lcs, sure, short=()) -> None:
+        self.short: dict[int, dict[int, list[Item]]] = {}  # words -> hash -> items
+        for item in short:
+            self.short.setdefault(len(item.ids), {}).setdefault(int(grams(item.ids, len(item.ids))[0]), []).append(item)
         self.vocab, self.items, self.half, self.min_cos, self.min_lcs, self.sure, self.weight = vocab, items, window // 2, min_cos, min_lcs, sure, weight
         self.w = np.vstack([basis * weight[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-        rows, self.owner = [], []
+        rows, self.owner, self.parts = [], [], []
         for k, item in enumerate(items):
             for a, b in _windows(len(item.ids), self.half):
                 rows.append(self.w[item.ids[a:b]].sum(axis=0))
                 self.owner.append(k)
+                self.parts.append(Item(item.key, item.ids[max(0, b - window) : b].tolist(), item.answer, weight) if len(item.ids) > window else None)
         p = np.array(rows, np.float32).reshape(-1, basis.shape[1])
         norm = np.linalg.norm(p, axis=1, keepdims=True)
         self.passages = (p / np.maximum(norm, 1e-9)).T.copy()
@@ -162,7 +180,7 @@ class Matcher:
         self.owner = np.array(self.owner)
 
     def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
-        """(text, start word, item, cosine) of each window and passage that are close."""
+        """(text, start word, passage, cosine) of each window and passage that are close."""
         h = self.half
         sizes = [-(-len(x) // h) for x in texts]
         ids = np.full(sum(sizes) * h, -1, np.int64)
@@ -194,39 +212,59 @@ class Matcher:
             cos = dot / norm[s : s + 2048, None]
             for i, j in zip(*np.nonzero((cos >= self.min_cos) & (dot >= self.least))):
                 k = s + int(i)
-                yield int(owner[k]), int(k - first[k]) * h, int(self.owner[j]), float(cos[i, j])
+                yield int(owner[k]), int(k - first[k]) * h, int(j), float(cos[i, j])
 
     def matches(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text (item key, cosine, share, start word) of the best window of each item that it holds."""
         out: list[list[tuple]] = [[] for _ in texts]
-        if not self.items:
+        if not self.items and not self.short:
             return out
         get, ids = self.vocab.get, []
         for t in texts:
             w = words_of(t)
             ids.append(np.fromiter(map(get, w, repeat(-1)), np.int64, len(w)))
         best: dict[tuple[int, int], tuple[float, float, int]] = {}
-        for d, start, k, cos in self.candidates(ids):
+        for d, start, j, cos in self.candidates(ids) if self.items else ():
+            k = int(self.owner[j])
             if (d, k) in best and best[d, k][0] >= 0.999:
                 continue
-            item = self.items[k]
-            m = len(item.ids)
-            region = ids[d][max(0, start - m) : start + 2 * self.half + m].tolist()
-            if item.lcs(region) < self.min_lcs * m:
-                continue
-            share = item.weighted_lcs(region) / max(item.mass, 1e-9)
-            if share < self.min_lcs:
-                continue
-            if share < self.sure and item.answer_mass > 0:
-                there = set(region)
-                if sum(self.weight[x] for x in item.answer if x in there) < 0.5 * item.answer_mass:
-                    continue
-            if (d, k) not in best or share > best[d, k][0]:
+            item, part = self.items[k], self.parts[j]
+            share = self.held(item, ids[d], start, len(item.ids))
+            if share is None and part is not None:
+                share = self.held(part, ids[d], start, self.half)
+            if share is not None and ((d, k) not in best or share > best[d, k][0]):
                 best[d, k] = share, cos, start
         for (d, k), (share, cos, start) in sorted(best.items()):
             out[d].append((self.items[k].key, cos, share, start))
+        for n, table in self.short.items():
+            for d, x in enumerate(ids):
+                out[d] += [(item.key, 1.0, 1.0, at) for item, at in self.verbatim(x, n, table)]
         return out
 
+    def held(self, item: Item, words: np.ndarray, start: int, reach: int) -> float | None:
+        """The item's weighted share in the text around a window; None if it isn't held."""
+        region = words[max(0, start - reach) : start + 2 * self.half + reach].tolist()
+        if item.lcs(region) < self.min_lcs * len(item.ids):
+            return None
+        share = item.weighted_lcs(region) / max(item.mass, 1e-9)
+        if share < self.min_lcs:
+            return None
+        if share < self.sure and item.answer_mass > 0:
+            there = set(region)
+            if sum(self.weight[x] for x in item.answer if x in there) < 0.5 * item.answer_mass:
+                return None
+        return share
+
+    def verbatim(self, words: np.ndarray, n: int, table: dict[int, list[Item]]) -> Iterator[tuple[Item, int]]:
+        """Short items whose words stand in a row, each at its first place with its answer near."""
+        h, done = grams(words, n), set()
+        for at in np.nonzero(np.isin(h, np.fromiter(table, np.uint64, len(table))))[0].tolist():
+            for item in table[int(h[at])]:
+                near = words[max(0, at - 2 * self.half) : at + n + 2 * self.half]
+                if id(item) not in done and np.array_equal(item.ids, words[at : at + n]) and np.isin(item.answer, near).all():
+                    done.add(id(item))
+                    yield item, at
+
 
 def _matchers(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, item_text: str, answer_col: str | None, window: int, rank: int, min_cos: float, min_cover: float, min_lcs: float, sure: float, min_words: int, slice_items: int):
     spark = docs.sparkSession
@@ -236,16 +274,19 @@ def _matchers(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, i
     for k in range(slices):
         rows = own.filter(F.pmod(F.xxhash64("key", "text"), F.lit(slices)) == k).orderBy("key", "text").collect()
         texts = [(r.key, words_of(r.text), words_of(r.answer) or words_of(re.split(r"[.!?]\s*(?=\S)", r.text.strip())[-1] if r.text else "")) for r in rows]
+        brief = [(r.key, words_of(r.text), words_of(r.answer)) for r in rows]
+        brief = [x for x in brief if 0 < len(x[1]) < min_words]
         texts = [x for x in texts if len(x[1]) >= min_words]
-        vocab = {w: i for i, w in enumerate(sorted({w for _, ws, aw in texts for w in (*ws, *aw)}))}
-        if not texts:
+        vocab = {w: i for i, w in enumerate(sorted({w for _, ws, aw in texts + brief for w in (*ws, *aw)}))}
+        if not vocab:
             continue
         df, n = passage_frequencies(docs, text_col, vocab, window)
         weight = np.log((n + 1) / (df + 1)) + 0.01
         items = [Item(key, [vocab[w] for w in ws], [vocab[w] for w in aw], weight) for key, ws, aw in texts]
-        passages = spark.createDataFrame([([int(x) for x in i.ids[a:b]],) for i in items for a, b in _windows(len(i.ids), window // 2)], "ids array<int>")
-        basis = randomised_svd(passages, weight, rank)
-        yield spark.sparkContext.broadcast(Matcher(vocab, items, basis, weight, window, min_cos, min_cover, min_lcs, sure))
+        passages = items and spark.createDataFrame([([int(x) for x in i.ids[a:b]],) for i in items for a, b in _windows(len(i.ids), window // 2)], "ids array<int>")
+        basis = randomised_svd(passages, weight, rank) if items else np.zeros((len(vocab), 1))
+        short = [Item(key, [vocab[w] for w in ws], [vocab[w] for w in aw], weight) for key, ws, aw in brief]
+        yield spark.sparkContext.broadcast(Matcher(vocab, items, basis, weight, window, min_cos, min_cover, min_lcs, sure, short))
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 64, rank: int = 256, min_cos: float = 0.15, min_cover: float = 0.35, min_lcs: float = 0.6, sure: float = 0.85, min_words: int = 8, slice_items: int = 20_000) -> DataFrame:
