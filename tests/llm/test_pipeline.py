@@ -10,7 +10,7 @@ from siltstone.llm import decontaminate, langid
 from tests.llm import fixtures
 from tests.llm.test_decontaminate import brute as leaks_of
 from tests.llm.test_mixing import WORD, water
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_similar import kept_of
 
 
 @pytest.fixture(scope="module")
@@ -31,10 +31,8 @@ def brute(rows, items):
         if r[1] not in best or (best[r[1]][0] is None or (r[0] is not None and r[0] > best[r[1]][0])):
             best[r[1]] = r
     rows = list(best.values())
-    groups = defaultdict(list)
-    for r, c in zip(rows, brute_components([brute_print(r[1]) for r in rows])):
-        groups[c].append(r)
-    rows = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    stay = set(kept_of(rows))
+    rows = [r for r in rows if r[0] in stay]
     bad = {d for d, _ in leaks_of(rows, items, 0.75)}
     rows = [r for r in rows if r[0] not in bad]
     sizes = defaultdict(int)
