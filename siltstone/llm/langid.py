@@ -9,7 +9,8 @@ trained: it is read from `vocabulary`, whose path is a parameter.
 
 The model is fitted on a bounded sample of labelled rows: about `per_lang` documents of
 each language in expectation, whole texts, chosen by a hash of the id. Prediction covers
-every row and every word.
+every row and every word. A stage rejects what no learned language explains better than a
+model in which all pieces of the vocabulary are alike (`keep_identified`).
 
 Defined results: null text or a text without a letter is `und` with score 0; with no
 labelled rows everything is `und`; rows with null lang are not learned from; a null id
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.plans.shared import arrow_bounds
 
@@ -98,8 +100,10 @@ class Lattice:
 
 
 def expected(words: list[str], counts: np.ndarray, number: dict[str, int], p: np.ndarray) -> np.ndarray:
-    """Expected piece counts of words of one length (at most 40 letters) under p, one language."""
+    """Expected piece counts of words of one length under p, one language."""
     lat, total = Lattice(words, number), np.zeros(len(p))
+    if lat.n > 41:
+        return _expected_of_long(lat, counts, p)
     f = [np.ones(len(words))]
     for at in lat.arcs:
         f.append(sum(f[i] * p[ids] for i, ids in at))
@@ -115,6 +119,31 @@ def expected(words: list[str], counts: np.ndarray, number: dict[str, int], p: np
     return total
 
 
+def _expected_of_long(lat: Lattice, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The same in logarithms, as the probabilities of long words are too small for floats."""
+    with np.errstate(divide="ignore"):
+        logp, total, none = np.log(p), np.zeros(len(p)), np.full(len(counts), -np.inf)
+    f, b = [np.zeros(len(counts))], [none] * lat.n + [np.zeros(len(counts))]
+    for at in lat.arcs:
+        f.append(np.logaddexp.reduce([f[i] + logp[ids] for i, ids in at]))
+    for j in range(lat.n, 0, -1):
+        for i, ids in lat.arcs[j - 1]:
+            b[i] = np.logaddexp(b[i], logp[ids] + b[j])
+    for j, at in enumerate(lat.arcs, 1):
+        for i, ids in at:
+            total += np.bincount(ids + (ids < 0) * len(p), np.exp(f[i] + logp[ids] + b[j] - f[-1]) * counts, len(p) + 1)[: len(p)]
+    return total
+
+
+def uniform(number: dict[str, int], unknown: float | None = None) -> np.ndarray:
+    """All pieces alike, and characters that no piece covers like them or as stated."""
+    q = np.full(len(number) + 2, 1.0 / max(1, len(number)))
+    q[len(number) + 1] = 0
+    if unknown is not None:
+        q[len(number)] = unknown
+    return q
+
+
 def fit(counts: dict[str, Counter], number: dict[str, int], rounds: int = 3, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages in code point order and the matrix for Lattice.forward."""
     langs = sorted(counts)
@@ -123,10 +152,8 @@ def fit(counts: dict[str, Counter], number: dict[str, int], rounds: int = 3, smo
     for c, lang in enumerate(langs):
         by_len: dict[int, list[str]] = defaultdict(list)
         for w in sorted(counts[lang]):
-            if len(w) <= 40:
-                by_len[len(w)].append(w)
-        q = np.full(k + 2, 1.0 / max(1, k))
-        q[k], q[k + 1] = UNKNOWN, 0
+            by_len[len(w)].append(w)
+        q = uniform(number, UNKNOWN)
         for _ in range(rounds):
             got = np.zeros(k + 2)
             for words in by_len.values():
@@ -189,7 +216,7 @@ def sample_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     if not sizes:
         return {}
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))  # the text too, as ids may be null
     chosen = labelled.filter(draw < rate[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,14 +234,36 @@ def sample_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     return out
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, per_lang: int = 300, carry: bool = False) -> DataFrame:
-    """id, held_out, lang_pred, score, letters for every row; with carry all columns of docs and lang_pred, score, letters instead (named as _pred, _score, _letters)."""
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, per_lang: int = 300) -> DataFrame:
+    """id, held_out, lang_pred, score, letters for every row."""
+    own = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id"), held_out(id_col).alias("held_out"))
+    return _judged(docs, own, id_col, text_col, lang_col, vocabulary, per_lang, False).select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", "letters")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, per_lang: int = 300, evidence: float = 50.0) -> DataFrame:
+    """The rows whose text is of a learned language, with their columns. A text goes if it has no letter, or if the model
+    of no language, which has all pieces of the vocabulary alike, explains it better than every language by `evidence`
+    nats, so that a few unknown words don't reject a text. Without labelled rows only letters decide."""
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
+    own = docs.select(docs[text_col].alias("_text"), row)
+    kept = _judged(docs, own, id_col, text_col, lang_col, vocabulary, per_lang, True, evidence).filter("known")
+    return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def _judged(docs: DataFrame, own: DataFrame, id_col: str, text_col: str, lang_col: str, vocabulary: str, per_lang: int, against_none: bool, evidence: float = 0.0) -> DataFrame:
+    """own (its first column is the text) -> its other columns, lang_pred, score, letters, known."""
     arrow_bounds(docs.sparkSession)
     number = pieces(vocabulary)
     counts = sample_counts(docs, id_col, text_col, lang_col, per_lang)
     langs, p = fit(counts, number) if counts else (["und"], np.zeros((len(number) + 2, 1)))
+    if against_none:
+        none = uniform(number)
+        if START in number:  # how often words start is no sign of a language
+            none[number[START]] = p[number[START]].max()
+        p = np.column_stack([p, none])
     known = bool(counts)
     model = docs.sparkSession.sparkContext.broadcast((number, p))  # vocabulary x languages
+    schema = T.StructType([*own.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("letters", T.BooleanType()), T.StructField("known", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
@@ -223,21 +272,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             if known:
                 like, letters = scorer.score(texts)
             else:
-                like, letters = np.zeros((len(texts), 1)), [any(c.isalpha() for c in t or "") for t in texts]
+                like, letters = np.zeros((len(texts), p.shape[1])), [any(c.isalpha() for c in t or "") for t in texts]
+            none = like[:, len(langs)] if against_none else np.full(len(texts), -np.inf)
+            like = like[:, : len(langs)]
             best = like.argmax(axis=1) if len(texts) else np.zeros(0, int)
             post = 1 / np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1) if len(texts) else np.zeros(0)
             pred = [langs[k] if x else "und" for k, x in zip(best, letters)]
             score = [float(s) if x and known else 0.0 for s, x in zip(post, letters)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.bool_())], names=schema.names)
-
-    from pyspark.sql import types as T
-
-    if carry:
-        own = docs.select(docs[text_col].alias("_text"), F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
-    else:
-        own = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id"), held_out(id_col).alias("held_out"))
-    schema = T.StructType([*own.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("letters", T.BooleanType())])
-    out = own.mapInArrow(run, schema)
-    if carry:
-        return out.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("lang_pred").alias("_pred"), F.col("score").alias("_score"), F.col("letters").alias("_letters"))
-    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", "letters")
+            fits = np.array(letters, bool) & (like.max(axis=1, initial=-np.inf) > none - evidence)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.bool_()), pa.array(fits)], names=schema.names)
+
+    return own.mapInArrow(run, schema)

@@ -89,11 +89,58 @@ def test_awkward_rows(spark):
             assert r.lang_pred == "es"
         elif texts == {fixtures.ENGLISH}:
             assert r.lang_pred == "en"
-    carried = langid.identify(fixtures.frame(spark, rows), carry=True)
-    assert carried.columns[:-3] == fixtures.frame(spark, []).columns and carried.count() == len(rows)
+    kept = langid.keep_identified(fixtures.frame(spark, rows))
+    assert kept.dtypes == fixtures.frame(spark, []).dtypes
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in fixtures.frame(spark, rows).collect() if langid.words_of(r.text))
 
 
 def test_without_labels_or_rows(spark):
     none = fixtures.frame(spark, [fixtures.row(1, fixtures.ENGLISH, None)])
     assert [(r.lang_pred, r.score) for r in langid.identify(none).collect()] == [("und", 0.0)]
     assert langid.identify(fixtures.frame(spark, [])).count() == 0
+
+
+def test_long_words_count_as_short_ones_do():
+    """In logarithms or not, expected counts are the same; and words of any length are learned from."""
+    number = langid.pieces(langid.VOCABULARY)
+    p = langid.uniform(number)
+    words, counts = ["unbelievable", "incontestable"[:12]], np.array([2.0, 3.0])
+    lattice = langid.Lattice(words, number)
+    assert np.allclose(langid.expected(words, counts, number, p), langid._expected_of_long(lattice, counts, p))
+    long = "ab" * 3000
+    got = langid.expected([long], np.array([1.0]), number, p)
+    assert np.isfinite(got).all() and 100 < got.sum() <= len(long) + 1
+
+
+def brute(texts, langs, p, number):
+    """Likelihoods of whole texts by plain recursion over all segmentations, word by word."""
+    def word(w, c):
+        f = [1.0]
+        for j in range(1, len(w) + 1):
+            f.append(sum(f[i] * (p[number[w[i:j]], c] if w[i:j] in number else p[len(number), c] if j == i + 1 else 0.0) for i in range(max(0, j - langid.LONGEST), j)))
+        return math.log(f[-1])
+
+    return [[sum(word(langid.START + w, c) for w in langid.words_of(t)) for c in range(len(langs))] for t in texts]
+
+
+def test_query_against_brute_force(spark, small):
+    """The query's predictions and scores from a model fitted word by word, all segmentations summed."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    number = langid.pieces(langid.VOCABULARY)
+    langs, p = langid.fit(langid.sample_counts(docs, "doc_id", "text", "lang", 300), number)
+    rows = [r for r in docs.select("doc_id", "text").orderBy("doc_id").collect() if len(r.text or "") < 1500][:40]
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r, like in zip(rows, brute([r.text for r in rows], langs, p, number)):
+        g = got[r.doc_id]
+        if g.letters:
+            assert g.lang_pred == langs[int(np.argmax(like))]
+            assert math.isclose(g.score, 1 / sum(math.exp(x - max(like)) for x in like), rel_tol=1e-6)
+
+
+def test_no_language_is_rejected(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    junk = [(10**6 + i, t, None) for i, t in enumerate(["Жук жужжит над лугом и не видит людей, которые идут по дороге к реке. " * 4, "日本語の文章です。" * 20, "#### 4821", "", None])]
+    both = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in langid.keep_identified(both).collect()}
+    assert not kept & {x[0] for x in junk}
+    assert kept == {r.doc_id for r in docs.collect() if langid.words_of(r.text)}
