@@ -13,17 +13,25 @@ Layout: white space collapses outside `pre`; blocks start lines; paragraphs, hea
 lists, quotes and tables keep a blank line around them; list items have bullets or numbers
 and hang; the cells of a table are aligned in columns, spanning cells over several.
 
-Defined results: null or empty html gives an empty text; below MOST_DEPTH open elements
-further ones are not nested (their text and blocks stay), so hostile nesting costs no
-stack; columns that a span claims beyond MOST_SPAN are not padded; repeated rows keep their
-rows; an empty table gives an empty result. Only the two named columns are looked at.
+An element that is not shown ends with its own end tag or that of an element around it,
+whatever is open in it, and a quote
+that nothing closes is an ordinary sign within its tag, so neither swallows the rest of a
+page; a tag that the page's end cuts off is no text, as in browsers.
+
+Defined results: null or empty html gives an empty text; nesting has no limit and costs no
+stack: lists, quotes and tables within MOST_BOXES others are not indented or aligned any
+further, all else stays as it is; spans are bounded as in the HTML standard; repeated rows
+keep their rows; an empty table gives an empty result. Only the two named columns are
+looked at.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -32,8 +40,10 @@ from pyspark.sql import functions as F
 
 from siltstone.plans.shared import arrow_bounds
 
-MOST_DEPTH, MOST_SPAN = 120, 64
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?=[A-Za-z/])[^<>]*\Z", re.S)
+MOST_BOXES = 40
+#: comments, declarations, and tags: slash, name, attributes, and the closing sign unless a quote stays open or the page ends
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)", re.S)
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -64,7 +74,10 @@ SVG_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker".
 #: these start tags end an open svg in a browser
 BREAKOUT = SPACED | frozenset("b big br center code dd div dt em embed i img li nobr ruby s small span strong strike sub sup tt u var".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
-ROWS = SECTIONS | {"tr", "form"}
+CELLS = SECTIONS | frozenset("td th tr caption".split())
+ROW_LEVEL = SECTIONS | {"tr"}
+#: shown, but their end tags close them whatever is open inside, as what they hold is set apart
+FORCED = frozenset("select option optgroup button svg math".split())
 
 
 class Node:
@@ -81,87 +94,114 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
-def parse(html: str) -> Node:
-    root = Node("#root", {})
-    stack, open_p, at = [root], 0, 0
+class Tree:
+    """The tree under construction: the open elements, and the places in that stack where each tag stands."""
+
+    def __init__(self) -> None:
+        self.root = Node("#root", {})
+        self.stack = [self.root]
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # lowest last
+        self.blocks: list[int] = []  # places of block elements
+        self.unseen: list[int] = []  # places of elements that are not shown
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The lowest place of any of the tags; 0 if none is open."""
+        get = self.places.get
+        return max((at[-1] for t in tags if (at := get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        if not visible(node):
+            self.unseen.append(len(self.stack))
+        self.stack.append(node)
+
+    def close_to(self, k: int) -> None:
+        """Close the element at place k and all in it."""
+        for node in self.stack[k:]:
+            self.places[node.tag].pop()
+        del self.stack[k:]
+        for places in (self.blocks, self.unseen):
+            while places and places[-1] >= k:
+                places.pop()
 
-    def text(s: str) -> None:
+    def text(self, s: str) -> None:
         if s:
-            if stack[-1].tag == "head" and not s.isspace():
-                stack.pop()
-            stack[-1].kids.append(unescape(s) if "&" in s else s)
-
-    def close_to(k: int) -> None:
-        nonlocal open_p
-        open_p -= sum(n.tag == "p" for n in stack[k:])
-        del stack[k:]
-
-    def close_p() -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "p":
-                return close_to(k)
-            if stack[k].tag in ("td", "th", "table", "caption", "button"):
-                return None
-        return None
-
-    size = len(html)
+            if self.stack[-1].tag == "head" and not s.isspace():
+                self.close_to(len(self.stack) - 1)
+            self.stack[-1].kids.append(unescape(s) if "&" in s else s)
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the lowest element of its name, unless a barrier of its kind stands in between and all is shown."""
+        if tag in HEADING:
+            k, barrier = self.last(HEADING), self.last(("td", "th", "table", "li"))
+        elif not self.places.get(tag):
+            return
+        else:
+            k = self.places[tag][-1]
+            if tag in CELLS:
+                barrier = self.last(("table",))
+            elif tag in ("table", "body", "html") or tag in UNSEEN or tag in FORCED:
+                barrier = 0
+            elif tag in BLOCK:
+                barrier = self.last(("td", "th", "table", "caption", *(("ul", "ol") if tag == "li" else ())))
+            else:
+                barrier = self.blocks[-1] if self.blocks else 0
+        if k and (k >= barrier or self.unseen and self.unseen[-1] >= k):
+            self.close_to(k)
+
+    def imply(self, tag: str) -> None:
+        """Close what a start tag closes by implication."""
+        if tag in CLOSES_P and self.places.get("p") and (k := self.places["p"][-1]) > self.last(("td", "th", "table", "caption", "button")):
+            self.close_to(k)
+        if tag in HEADING and self.stack[-1].tag in HEADING:
+            self.close_to(len(self.stack) - 1)
+        if tag in IMPLIED:
+            closed, barrier = IMPLIED[tag]
+            k = self.last(closed)
+            if k and k > self.last(barrier):
+                while tag in ROW_LEVEL and self.stack[k - 1].tag in closed:
+                    k -= 1
+                self.close_to(k)
+
+
+def parse(html: str) -> Node:
+    tree, at, size = Tree(), 0, len(html)
     while at < size:
         m = TOKEN.search(html, at)
         if not m:
-            text(html[at:])
+            tree.text(html[at:])
             break
-        text(html[at : m.start()])
+        tree.text(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, inside, whole = m[2].lower(), m[3], m[4]
+        while not whole and at < size:  # a quote that nothing closes
+            rest = REST.match(html, at + 1)
+            inside, whole, at = inside + " " + rest[1], rest[2], rest.end()
+        if not whole:
+            break
         if m[1]:
             if tag == "br":
-                stack[-1].kids.append(Node("br", {}))
-                continue
-            if tag in HEADING:
-                match, barrier = HEADING, ("td", "th", "table", "li")
-            elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"):
-                match, barrier = (tag,), ("table",)
-            elif tag == "table" or tag in ("body", "html"):
-                match, barrier = (tag,), ()
-            elif tag in BLOCK:
-                match, barrier = (tag,), ("td", "th", "table", "caption", *(("ul", "ol") if tag == "li" else ()))
+                tree.stack[-1].kids.append(Node("br", {}))
             else:
-                match, barrier = (tag,), BLOCK
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in match:
-                    close_to(k)
-                    break
-                if stack[k].tag in barrier:
-                    break
+                tree.end(tag)
             continue
+        attrs = attributes(inside) if inside and not inside.isspace() else {}
         if tag in ("html", "body"):
-            attrs = attributes(m[3]) if m[3].strip() else {}
-            close_head(stack)
+            if k := tree.last(("head",)):
+                tree.close_to(k)
             if GONE.search(attrs.get("style", "")) or "hidden" in attrs:
-                stack[-1].attrs.update(attrs)
+                tree.stack[-1].attrs.update(attrs)
             continue
-        if stack[-1].tag == "head" and tag not in HEAD:
-            stack.pop()
-        if open_p and tag in CLOSES_P:
-            close_p()
-        if tag in HEADING and stack[-1].tag in HEADING:
-            stack.pop()
-        if tag in IMPLIED:
-            closed, barrier = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in barrier:
-                    break
-                if stack[k].tag in closed:
-                    lowest = k
-                    while tag in ("tr", "tbody", "thead", "tfoot") and stack[lowest - 1].tag in closed:
-                        lowest -= 1
-                    close_to(lowest)
-                    break
-        node = Node(tag, attributes(m[3]) if m[3] and not m[3].isspace() else {})
-        stack[-1].kids.append(node)
-        if tag in VOID or m[3].endswith("/") and any(n.tag in ("svg", "math") for n in stack):
+        if tree.stack[-1].tag == "head" and tag not in HEAD:
+            tree.close_to(len(tree.stack) - 1)
+        tree.imply(tag)
+        node = Node(tag, attrs)
+        tree.stack[-1].kids.append(node)
+        if tag in VOID or inside.endswith("/") and tree.last(("svg", "math")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -170,23 +210,15 @@ def parse(html: str) -> Node:
                 node.kids.append(unescape(inner) if tag == "textarea" else inner)
             at = end.end() if end else size
             continue
-        if len(stack) < MOST_DEPTH:
-            stack.append(node)
-            open_p += tag == "p"
-    return root
-
-
-def close_head(stack: list[Node]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == "head":
-            del stack[k:]
+        tree.push(node)
+    return tree.root
 
 
 def visible(node: Node) -> bool:
-    if node.tag in UNSEEN:
-        return False
     a = node.attrs
-    return not a or not ("hidden" in a or ("style" in a and GONE.search(a["style"])) or (node.tag == "dialog" and "open" not in a))
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a:
+        return False
+    return not a or not ("hidden" in a or "style" in a and GONE.search(a["style"]))
 
 
 def width(line: str) -> int:
@@ -194,9 +226,10 @@ def width(line: str) -> int:
 
 
 class Lines:
-    """Output lines of one box; inline text gathers in `words` until the line ends."""
+    """Output lines of one box that lies in `depth` others; inline text gathers in `line` until the line ends."""
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int = 0) -> None:
+        self.depth = depth
         self.done: list[str] = []
         self.line: list[str] = []
         self.blank = self.space = False
@@ -235,79 +268,104 @@ class Lines:
         self.blank = True
 
 
-def box(node: Node) -> list[str]:
-    out = Lines()
+def box(node: Node, depth: int) -> list[str]:
+    out = Lines(depth)
     flow(node, out)
     out.end()
     return out.done
 
 
+END, GAP, WORD = 1, 2, 3  # what follows the content of an element
+
+
 def flow(node: Node, out: Lines) -> None:
-    for kid in node.kids:
+    """Lay out what a node holds; open elements wait on a stack of (their children, themselves, what follows, in svg)."""
+    stack = [(iter(node.kids), node, 0, node.tag == "svg")]
+    while stack:
+        kids, parent, after, drawn = stack[-1]
+        kid = next(kids, None)
+        if kid is None:
+            stack.pop()
+            if after == END:
+                out.end()
+            elif after == GAP:
+                out.gap()
+            elif after == WORD:
+                out.text(" ")
+            continue
         if isinstance(kid, str):
-            out.text(kid)
+            if not drawn:
+                out.text(kid)
             continue
         if not visible(kid):
             continue
         tag = kid.tag
+        if drawn:  # only text elements of a drawing are shown, and html in it
+            if tag in SVG_UNSEEN:
+                continue
+            if tag not in ("text", "foreignobject") and tag not in BREAKOUT and tag not in BLOCK:
+                stack.append((iter(kid.kids), kid, 0, True))
+                continue
+            out.text(" ")
+            if tag not in BLOCK and tag != "br":
+                stack.append((iter(kid.kids), kid, WORD, False))
+                continue
         if tag not in BLOCK:
             if tag == "br":
                 if not out.line:
                     out.start()
                     out.line.append("")
                 out.end()
-            elif tag == "wbr" or node.tag == "semantics" and tag in ("annotation", "annotation-xml"):
+            elif tag == "wbr" or parent.tag == "semantics" and tag in ("annotation", "annotation-xml"):
                 pass
-            elif tag == "svg":
-                drawing(kid, out)
             elif tag in ("textarea", "xmp"):
                 if (inner := verbatim(kid).strip("\n").expandtabs()) and not inner.isspace():
                     out.raw(inner.split("\n"))
             else:
-                flow(kid, out)
+                stack.append((iter(kid.kids), kid, 0, tag == "svg"))
             continue
-        spaced = tag in SPACED and not (tag in LISTS and node.tag in ("li", "dd"))  # lists within lists are tight
+        spaced = tag in SPACED and not (tag in LISTS and parent.tag in ("li", "dd"))  # lists within lists are tight
         out.gap() if spaced else out.end()
+        deep, lines = out.depth + 1, None
         if tag == "pre":
-            out.raw(verbatim(kid).strip("\n").expandtabs().split("\n"))
+            lines = verbatim(kid).strip("\n").expandtabs().split("\n")
         elif tag == "hr":
-            out.raw(["---"])
+            lines = ["---"]
+        elif deep > MOST_BOXES:  # no more boxes: marks and text as they come
+            if tag == "li":
+                out.text("- ")
         elif tag in LISTS:
-            out.raw(listing(kid))
+            lines = listing(kid, deep)
         elif tag == "li":
-            out.raw(hang("- ", box(kid)))
+            lines = hang("- ", box(kid, deep))
         elif tag == "dd":
-            out.raw(hang("    ", box(kid)))
+            lines = hang("    ", box(kid, deep))
         elif tag == "blockquote":
-            out.raw([f"> {x}".rstrip() for x in box(kid)])
+            lines = [f"> {x}".rstrip() for x in box(kid, deep)]
         elif tag == "table":
-            out.raw(table(kid))
+            lines = table(kid, deep)
+        if lines is not None:
+            out.raw(lines)
+            out.gap() if spaced else out.end()
         elif tag == "details" and "open" not in kid.attrs:
-            for x in kid.kids:
-                if isinstance(x, Node) and x.tag == "summary" and visible(x):
-                    flow(x, out)
+            stack.append((iter([x for x in kid.kids if isinstance(x, Node) and x.tag == "summary"]), kid, GAP if spaced else END, False))
         else:
-            flow(kid, out)
-        out.gap() if spaced else out.end()
-
-
-def drawing(node: Node, out: Lines) -> None:
-    """The text elements of an svg, and html in it."""
-    for kid in node.kids:
-        if isinstance(kid, str) or not visible(kid) or kid.tag in SVG_UNSEEN:
-            continue
-        if kid.tag in ("text", "foreignobject") or kid.tag in BREAKOUT or kid.tag in BLOCK:
-            wrap = Node("div", {})
-            wrap.kids = [kid]
-            out.text(" ")
-            flow(wrap, out)
-            out.text(" ")
-        else:
-            drawing(kid, out)
+            stack.append((iter(kid.kids), kid, GAP if spaced else END, False))
 
 
 def verbatim(node: Node) -> str:
-    return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else verbatim(k) if visible(k) else "" for k in node.kids).replace("\r\n", "\n").replace("\r", "\n")
+    out, stack = [], [iter(node.kids)]
+    while stack:
+        kid = next(stack[-1], None)
+        if kid is None:
+            stack.pop()
+        elif isinstance(kid, str):
+            out.append(kid)
+        elif kid.tag == "br":
+            out.append("\n")
+        elif visible(kid):
+            stack.append(iter(kid.kids))
+    return "".join(out).replace("\r\n", "\n").replace("\r", "\n")
 
 
 def hang(mark: str, lines: list[str]) -> list[str]:
@@ -319,105 +377,117 @@ def number(s: str | None, other: int) -> int:
     return int(s) if re.fullmatch(r"-?[0-9]{1,9}", s) else other
 
 
-def listing(node: Node) -> list[str]:
+def alone(kid: Node | str, depth: int) -> list[str]:
+    """What stands outside of its place, as a block of its own."""
+    wrap = Node("div", {})
+    wrap.kids = [kid]
+    return box(wrap, depth)
+
+
+def listing(node: Node, depth: int) -> list[str]:
     out, n = [], number(node.attrs.get("start"), 1)
     for kid in node.kids:
         if isinstance(kid, Node) and kid.tag == "li":
             if visible(kid):
                 n = number(kid.attrs.get("value"), n)
-                out += hang(f"{n}. " if node.tag == "ol" else "- ", box(kid))
+                out += hang(f"{n}. " if node.tag == "ol" else "- ", box(kid, depth))
                 n += 1
-        elif isinstance(kid, str):
-            if not kid.isspace():
-                out += hang("  ", [SPACE.sub(" ", kid).strip()])
-        elif visible(kid):
-            wrap = Node("div", {})
-            wrap.kids = [kid]
-            out += hang("  ", box(wrap))
+        elif not isinstance(kid, str) or not kid.isspace():
+            out += hang("  ", alone(kid, depth))
     return out
 
 
-def rows_of(node: Node, strays: list[Node | str]) -> Iterator[Node]:
-    """Rows of a table or section, cells outside of rows as a row of their own; what stands outside of rows goes to strays."""
-    loose = Node("tr", {})
-    for kid in node.kids:
-        if isinstance(kid, Node) and kid.tag in ("td", "th"):
+def holds_rows(form: Node) -> bool:
+    stack = [form]
+    while stack:
+        for k in stack.pop().kids:
+            if isinstance(k, Node) and (k.tag in ROW_LEVEL or k.tag in ("td", "th")):
+                return True
+            if isinstance(k, Node) and k.tag == "form":
+                stack.append(k)
+    return False
+
+
+def rows_of(node: Node, strays: list[Node | str]) -> list[Node]:
+    """Rows of a table, cells outside of rows as a row of their own; what stands outside of rows goes to strays."""
+    rows: list[Node] = []
+    stack = [(iter(node.kids), Node("tr", {}))]
+    while stack:
+        kids, loose = stack[-1]
+        kid = next(kids, None)
+        cell = isinstance(kid, Node) and kid.tag in ("td", "th")
+        if cell:
             loose.kids.append(kid)
             continue
-        if isinstance(kid, str) and kid.isspace() or isinstance(kid, Node) and not visible(kid):
+        if kid is not None and (kid.isspace() if isinstance(kid, str) else not visible(kid)):
             continue
-        if loose.kids and isinstance(kid, Node) and kid.tag in ROWS:
-            yield loose
-            loose = Node("tr", {})
-        if isinstance(kid, Node) and kid.tag == "tr":
-            yield kid
-        elif isinstance(kid, Node) and (kid.tag in SECTIONS or kid.tag == "form" and holds_rows(kid)):
-            yield from rows_of(kid, strays)
+        into = isinstance(kid, Node) and (kid.tag in SECTIONS or kid.tag == "form" and holds_rows(kid))
+        row = isinstance(kid, Node) and kid.tag == "tr"
+        if loose.kids and (kid is None or row or into or isinstance(kid, Node) and kid.tag == "form"):
+            rows.append(loose)
+            stack[-1] = kids, Node("tr", {})
+        if kid is None:
+            stack.pop()
+        elif row:
+            rows.append(kid)
+        elif into:
+            stack.append((iter(kid.kids), Node("tr", {})))
         else:
             strays.append(kid)
-    if loose.kids:
-        yield loose
+    return rows
 
 
-def holds_rows(form: Node) -> bool:
-    return any(isinstance(k, Node) and (k.tag in ROWS or k.tag in ("td", "th") or k.tag == "form" and holds_rows(k)) for k in form.kids)
-
-
-def table(node: Node) -> list[str]:
-    head: list[str] = []
+def table(node: Node, depth: int) -> list[str]:
+    out: list[str] = []
     strays: list[Node | str] = []
-    rows = list(rows_of(node, strays))
+    rows = rows_of(node, strays)
     for kid in strays:  # captions, and text or elements that stand outside of rows
-        if isinstance(kid, str):
-            head.append(SPACE.sub(" ", kid).strip())
-        else:
-            wrap = Node("div", {})
-            wrap.kids = [kid]
-            head += box(wrap)
+        out += alone(kid, depth)
     grid: list[list[tuple[int, int, list[str]]]] = []
-    below: dict[int, int] = {}  # column -> rows that a cell above still covers
-    for tr in rows:
-        row, col, stray = [], 0, Node("td", {})
-        cells = []
+    above: list[tuple[int, int, int]] = []  # first column, column after the last, and row after the last of cells that reach down
+    for r, tr in enumerate(rows):
+        row, col, stray, cells = [], 0, Node("td", {}), []
         for kid in tr.kids:
             if isinstance(kid, Node) and kid.tag in ("td", "th"):
                 cells.append(kid)
             elif not isinstance(kid, str) or not kid.isspace():
                 stray.kids.append(kid)
+        above = sorted(x for x in above if x[2] > r)
+        k, new = 0, []
         for cell in cells + [stray] * bool(stray.kids):
             if not visible(cell):
                 continue
-            while below.get(col, 0):
-                col += 1
-            span = max(1, min(MOST_SPAN, number(cell.attrs.get("colspan"), 1)))
-            deep = max(1, min(1000, number(cell.attrs.get("rowspan"), 1)))
-            row.append((col, span, box(cell)))
-            for k in range(col, col + span):
-                below[k] = max(below.get(k, 0), deep)
+            while k < len(above) and above[k][0] <= col:
+                col, k = max(col, above[k][1]), k + 1
+            span = max(1, min(1000, number(cell.attrs.get("colspan"), 1)))
+            down = min(65534, number(cell.attrs.get("rowspan"), 1))
+            row.append((col, col + span, box(cell, depth)))
+            if down > 1 or down == 0:  # 0 reaches to the end
+                new.append((col, col + span, r + down if down else len(rows)))
             col += span
-        below = {k: n - 1 for k, n in below.items() if n > 1}
+        above += new
         grid.append(row)
-    wide: dict[int, int] = {}
-    for row in grid:
-        for col, span, lines in row:
-            if span == 1:
-                wide[col] = max(wide.get(col, 0), *map(width, lines), 0) if lines else wide.get(col, 0)
-    for row in grid:
-        for col, span, lines in row:
-            if span > 1 and lines:
-                have = sum(wide.setdefault(k, 0) for k in range(col, col + span)) + 3 * (span - 1)
-                wide[col + span - 1] += max(0, max(map(width, lines)) - have)
-    starts, at = {}, 0
-    for k in range(max(wide, default=-1) + 1):
-        starts[k] = at
-        at += wide.get(k, 0) + 3
-    out = head
-    for row in grid:
+    # columns in which no cell starts take no room
+    starts = sorted({a for row in grid for a, *_ in row})
+    wide = [0] * len(starts)
+    spans = [[(bisect_left(starts, a), bisect_left(starts, b), lines) for a, b, lines in row] for row in grid]
+    for row in spans:
+        for a, b, lines in row:
+            if b - a == 1 and lines:
+                wide[a] = max(wide[a], *map(width, lines))
+    for row in spans:
+        for a, b, lines in row:
+            if b - a > 1 and lines:
+                wide[b - 1] += max(0, max(map(width, lines)) - sum(wide[a:b]) - 3 * (b - a - 1))
+    edges, at = [], 0
+    for w in wide:
+        edges.append(at)
+        at += w + 3
+    for row in spans:
         for i in range(max((len(x) for *_, x in row), default=0)):
             line, used = [], 0
-            for q, (col, _, lines) in enumerate(row):
-                cell = lines[i] if i < len(lines) else ""
-                edge = starts.get(col, used)
+            for q, (a, _, lines) in enumerate(row):
+                cell, edge = lines[i] if i < len(lines) else "", edges[a]
                 if q:
                     line.append(" " * max(0, edge - 3 - used) + " | ")
                     used = max(used + 3, edge)
@@ -426,13 +496,13 @@ def table(node: Node) -> list[str]:
                     used = edge
                 line.append(cell)
                 used += width(cell)
-            if any(not (c.isspace() or c == "|") for c in "".join(line)):
+            if "".join(line).replace("|", "").strip():
                 out.append("".join(line).rstrip())
     return out
 
 
 def render(html: str | None) -> str:
-    return "\n".join(x.rstrip() for x in box(parse(html))).strip("\n") if html else ""
+    return "\n".join(x.rstrip() for x in box(parse(html), 0)).strip("\n") if html else ""
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
