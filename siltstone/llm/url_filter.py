@@ -8,10 +8,13 @@ if its distrust exceeds `threshold` times its trust.
 
 Host edges are the absolute hyperlinks of the pages, weighted by their number, and a weak
 edge each way between a host and the domain it lies in. Self links do not count. Mass of
-hosts without a way out returns to the seeds.
+hosts without a way out returns to the seeds, which is the same as scaling, so ranks are
+sums of what walks of each length bring, scaled to 1 at the end.
 
-Iterations are DataFrame joins over (host, trust, distrust), written to the shared folder;
-nothing is collected but the largest change. Url rows are joined with hosts by equi-joins,
+Walks go on until what is still on its way is below `tolerance` of all; a bound of rounds
+that is hit raises an error. CHAIN steps run as one plan, whose edges are shuffled once, and
+are then written to the shared folder; nothing is collected but the mass on its way. Url rows
+are joined with hosts by equi-joins,
 whose hot hosts AQE splits; the rule table is expanded as expressions while it has at most
 `inline_rules` rules and joined by domain suffix beyond.
 
@@ -32,7 +35,8 @@ from siltstone.plans.shared import materialize
 
 Rule = tuple[str, str, str]
 RULES: list[Rule] = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
+CHAIN = 8
+LINK = r"(?i)<a\s[^<>]*?href\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -84,32 +88,34 @@ def host_edges(pages: DataFrame, html: str, hierarchy: float) -> DataFrame:
     return every
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 400, tolerance: float = 1e-6) -> DataFrame:
     """seeds: host, trust, distrust (each sums to 1 or is 0) -> the same of every host reached."""
     out = edges.groupBy("src").agg(F.sum("w").alias("all"))
     into = edges.groupBy("dst").agg(F.sum("w").alias("all"))
     ahead = edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("t"), F.lit(0.0).alias("d"))
     back = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("t"), (F.col("w") / F.col("all")).alias("d"))
-    ways = materialize(ahead.union(back).groupBy("src", "dst").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "host-edges")
-    seeds = materialize(seeds, "host-seeds")
-    if ways.isEmpty():
-        return seeds
-    now = seeds
-    for _ in range(rounds):
-        moved = now.join(ways, now["host"] == ways["src"]).groupBy("dst").agg(F.sum(F.col("trust") * F.col("t")).alias("t"), F.sum(F.col("distrust") * F.col("d")).alias("d")).select(F.col("dst").alias("host"), (damping * F.col("t")).alias("trust"), (damping * F.col("d")).alias("distrust"))
-        # what did not move on (dangling) or restarts goes to the seeds
-        lost = moved.agg(F.coalesce(F.sum("trust"), F.lit(0.0)).alias("kept_t"), F.coalesce(F.sum("distrust"), F.lit(0.0)).alias("kept_d"))
-        home = seeds.crossJoin(F.broadcast(lost)).select("host", (F.col("trust") * (1 - F.col("kept_t"))).alias("trust"), (F.col("distrust") * (1 - F.col("kept_d"))).alias("distrust"))  # one row
-        new = materialize(moved.union(home).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host-ranks")
-        both = new.select("host", "trust", "distrust").union(now.select("host", -F.col("trust"), -F.col("distrust")))
-        change = both.groupBy("host").agg(F.abs(F.sum("trust")) + F.abs(F.sum("distrust"))).agg(F.sum(F.col("(abs(sum(trust)) + abs(sum(distrust)))"))).first()[0]
-        now = new
-        if change is not None and change < tolerance:
+    moves = ahead.union(back).groupBy("src", "dst").agg((damping * F.sum("t")).alias("t"), (damping * F.sum("d")).alias("d")).withColumn("stay", F.lit(0.0))
+    # a way from each host to itself, on which what has arrived stays
+    hosts = edges.select("src").union(edges.select("dst")).union(seeds.select("host")).distinct()
+    stays = hosts.select(F.col("src"), F.col("src").alias("dst"), F.lit(0.0).alias("t"), F.lit(0.0).alias("d"), F.lit(1.0).alias("stay"))
+    ways = materialize(moves.union(stays), "host-ways")
+    now = materialize(seeds.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"), F.col("trust").alias("t1"), F.col("distrust").alias("d1")), "host-ranks")
+    for _ in range(0, rounds, CHAIN):
+        left = now.agg(F.coalesce(F.sum(F.col("t0") + F.col("d0")), F.lit(0.0))).first()[0]
+        if left < tolerance:
             break
-    return now
+        for _ in range(CHAIN):
+            step, kept = (lambda x: F.sum(F.col(x + "0") * F.col(x))), (lambda x: F.sum(F.col(x + "0") * F.col(x) + F.col(x + "1") * F.col("stay")))
+            now = now.join(ways, now["host"] == ways["src"]).groupBy("dst").agg(step("t").alias("t0"), step("d").alias("d0"), kept("t").alias("t1"), kept("d").alias("d1")).withColumnRenamed("dst", "host")
+        now = materialize(now, "host-ranks")
+    else:
+        raise RuntimeError(f"ranks did not settle in {rounds} rounds")
+    total = now.agg(F.sum("t1").alias("all_t"), F.sum("d1").alias("all_d"))
+    share = lambda x, s: F.when(F.col(s) > 0, F.col(x) / F.col(s)).otherwise(F.lit(0.0))
+    return now.crossJoin(F.broadcast(total)).select("host", share("t1", "all_t").alias("trust"), share("d1", "all_d").alias("distrust"))  # total is one row
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[Rule] | None = None, damping: float = 0.85, hierarchy: float = 0.1, rounds: int = 12, tolerance: float = 1e-4, threshold: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[Rule] | None = None, damping: float = 0.85, hierarchy: float = 0.1, rounds: int = 400, tolerance: float = 1e-6, threshold: float = 1.0) -> DataFrame:
     """id, host, path, rule, verdict, trust, distrust for every row."""
     host, path = split_url(F.col(url_col))
     own = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
 import random
+import re
+
+import numpy as np
+import pytest
 
 from siltstone.llm import url_filter
 
@@ -68,26 +72,56 @@ def test_distrust_spreads_against_links(spark):
     assert got[2].distrust > got[2].trust and got[4].trust > got[4].distrust
 
 
-def test_scores_match_a_dense_power_iteration(spark):
-    import numpy as np
-
-    edges = [("a", "b", 0.5), ("a", "c", 0.5), ("b", "c", 1.0), ("d", "a", 1.0)]
-    e = spark.createDataFrame(edges, "src string, dst string, w double")
-    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("c", 0.0, 1.0)], "host string, trust double, distrust double")
-    got = {r.host: (r.trust, r.distrust) for r in url_filter.spread(e, seeds, 0.85, 60, 1e-12).collect()}
-    names = "abcd"
-    m = np.zeros((4, 4))
+def dense(edges, trusted, blocked, rounds=500):
+    """Trust and distrust by power iteration over a full matrix; mass without a way returns to the seeds."""
+    names = sorted({x for s, t, _ in edges for x in (s, t)} | set(trusted) | set(blocked))
+    m = np.zeros((len(names), len(names)))
     for s, t, w in edges:
-        m[names.index(s), names.index(t)] = w
-    for k, (mat, home) in enumerate(((m, [1, 0, 0, 0]), (m.T.copy(), [0, 0, 1, 0]))):
+        m[names.index(s), names.index(t)] += w
+    out = []
+    for mat, seeds in ((m, trusted), (m.T.copy(), blocked)):
         sums = mat.sum(axis=1, keepdims=True)
         mat = np.divide(mat, sums, out=np.zeros_like(mat), where=sums > 0)
-        home, v = np.array(home, float), np.array(home, float)
-        for _ in range(60):
+        home = np.array([seeds.get(n, 0.0) for n in names])
+        v = home.copy()
+        for _ in range(rounds):
             moved = 0.85 * v @ mat
             v = moved + (1 - moved.sum()) * home
-        for i, n in enumerate(names):
-            assert abs(got.get(n, (0, 0))[k] - v[i]) < 1e-9
+        out.append(dict(zip(names, v)))
+    return out
+
+
+def test_scores_match_a_dense_power_iteration(spark):
+    edges = [("a", "b", 0.5), ("a", "c", 0.5), ("b", "c", 1.0), ("d", "a", 1.0)]
+    e = spark.createDataFrame(edges, "src string, dst string, w double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("c", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.spread(e, seeds, tolerance=1e-12).collect()}
+    for k, want in enumerate(dense(edges, {"a": 1.0}, {"c": 1.0})):
+        assert all(abs(got.get(n, (0, 0))[k] - want[n]) < 1e-9 for n in want)
+
+
+def test_defaults_settle_on_rings_and_chains(spark):
+    """The query's parameters, on a ring of 40 hosts and a chain of 40 that ends at a blocked host, against full matrices."""
+    link = lambda *hosts: " ".join(f'<a class=x href="http://{h}/">x</a>' for h in hosts)
+    rows = [(i, f"http://ring{i}.org/", link(f"ring{(i + 1) % 40}.org"), 1, 2, "", 3, 4) for i in range(1, 40)]
+    rows += [(40, "http://ring0.com/", link("ring1.org"), 1, 2, "", 3, 4), (41, "http://ring39.org/x", link("ring0.com"), 1, 2, "", 3, 4)]
+    rows += [(100 + i, f"http://chain{i}.org/", link(f"chain{i + 1}.org"), 1, 2, "", 3, 4) for i in range(39)]
+    rows += [(139, "http://chain39.org/", link("bad.net"), 1, 2, "", 3, 4), (140, "http://bad.net/es/", "", 1, 2, "", 3, 4)]
+    got = {r.page_id: r for r in url_filter.judge(pages(spark, rows)).collect()}
+    edges = [(split(u)[0], split(t)[0], 1.0) for _, u, h, *_ in rows for t in re.findall(r'href="([^"]*)"', h)]
+    trust, distrust = dense([e for e in edges if e[0] != e[1]], {"ring0.com": 1.0}, {"bad.net": 1.0})
+    for r in got.values():
+        assert abs(r.trust - trust[r.host]) < 1e-4 and abs(r.distrust - distrust[r.host]) < 1e-4
+        if r.rule is None:
+            assert r.verdict == ("block" if distrust[r.host] > trust[r.host] else "allow")
+    assert all(got[100 + i].verdict == "block" for i in range(40))
+
+
+def test_a_bound_that_is_hit_raises(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, w double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    with pytest.raises(RuntimeError):
+        url_filter.spread(e, seeds, rounds=16).collect()
 
 
 def test_empty_and_repeated(spark):
