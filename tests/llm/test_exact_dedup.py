@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from siltstone.llm import exact_dedup
 from siltstone.llm.content_table import ContentTable
 from tests.llm import fixtures
@@ -33,7 +35,21 @@ def test_labels(spark):
 
 def test_buckets_are_split_until_they_fit(spark):
     rows = [fixtures.row(i, f"text number {i % 400} " * 5) for i in range(1200)]
-    check(spark, rows + fixtures.awkward(), bucket_bytes=2000, levels=5)
+    check(spark, rows + fixtures.awkward(), bucket_bytes=2000)
+
+
+def test_too_few_levels_raise(spark):
+    rows = [fixtures.row(i, f"text number {i} " * 5) for i in range(300)]
+    with pytest.raises(RuntimeError):
+        exact_dedup.label_copies(fixtures.frame(spark, rows), bucket_bytes=200, levels=1)
+
+
+def test_a_task_starts_a_table_for_each_bucket():
+    """Batches cut where the bucket changes, also across batches; a table never sees two buckets."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(range(len(b)))], names=["bucket", "x"]) for b in ([1, 1, 2], [2, 2], [], [3])]
+    assert [(new, b.num_rows) for new, b in exact_dedup._by_bucket(iter(batches))] == [(True, 2), (True, 1), (False, 2), (True, 1)]
 
 
 def test_dropped_rows_keep_their_columns(spark):
