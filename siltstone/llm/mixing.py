@@ -10,7 +10,7 @@ Sampling is whole and fractional: every document of a source is repeated floor(r
 times; the rest of the source's target is filled with whole documents in the order of a
 seeded hash, and the document at the boundary gives its first words only. So a source's
 taken words equal floor(target), no document exceeds `epochs` repetitions, and reruns
-agree. The order needs no sort of a whole source: documents fall into 65,536 equal hash
+agree. The hash is of id and text, so that repeated or null ids spread over all ranges too. The order needs no sort of a whole source: documents fall into 65,536 equal hash
 ranges, prefix sums of range totals say where each range starts, and only the documents
 of one range of one source are ordered among themselves.
 
@@ -58,8 +58,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
     """id, size, source_size, target, taken for every row; carry: further columns to keep."""
     size = F.when(docs[text_col].isNull(), 0).otherwise(F.regexp_count(docs[text_col], F.lit(WORD))).cast("long")
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"), F.struct(F.lit(0).alias("_"), *[docs[c].alias(f"c{k}") for k, c in enumerate(carry)]).alias("row"))
-    rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"), F.md5(F.coalesce(docs[text_col], F.lit(""))).alias("digest"), F.struct(F.lit(0).alias("_"), *[docs[c].alias(f"c{k}") for k, c in enumerate(carry)]).alias("row"))
+    rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), "digest")))
     rows = rows.withColumn("s", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))).withColumn("fine", F.substring("key", 1, 4))
     # a source's documents by hash range; the hot source is spread over all ranges
     fine = rows.groupBy("s", "fine").agg(F.first("source").alias("source"), F.sum("size").alias("range_size"))
@@ -88,7 +88,7 @@ def oracle_sql(weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs:
 WITH d AS (
   SELECT doc_id, source,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 c AS (SELECT *, source_size::DOUBLE * {epochs} AS cap,

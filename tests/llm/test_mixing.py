@@ -77,3 +77,13 @@ def test_sql_agrees_on_awkward_rows(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r[0], r[1], r[3]) for r in fixtures.awkward()])
     assert_agree(mixing.mix(fixtures.frame(spark, fixtures.awkward())), con, mixing.oracle_sql())
+
+
+def test_rows_of_one_id_spread_and_reruns_agree(spark):
+    """All ids null: texts still fall into many ranges, and which texts are taken does not depend on the order of rows."""
+    rows = [fixtures.row(None, f"text {i} " * (i % 7 + 1), source="ab"[i % 2]) for i in range(400)]
+    runs = []
+    for parts in (1, 5):
+        got = mixing.mix(fixtures.frame(spark, rows).repartition(parts), carry=["text"]).collect()
+        runs.append(sorted((r.text, r.taken) for r in got))
+    assert runs[0] == runs[1] and len(runs[0]) == 400
