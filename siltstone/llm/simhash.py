@@ -5,15 +5,18 @@ text's word shingles (repeats included). Texts link if their fingerprints differ
 most `radius` bits; components of links are groups.
 
 1. Fingerprints are computed where the texts are scanned and written to the shared folder.
-2. Distinct fingerprints (a group of copies is one from here on) are dealt to shards by a
-   vantage-point tree. The tree is fitted on a bounded sample (`sample` fingerprints and an
-   eighth of all at most, in expectation, chosen by hash); every fingerprint is routed. At a node with vantage point
-   v and radius m a fingerprint x goes inside if d(x, v) <= m, else outside; by the
-   triangle inequality an outside fingerprint can link to an inside one only if
-   d(x, v) <= m + radius, so only those are copied inside as well. Every linked pair then
-   meets in a shard.
+2. Distinct fingerprints (a group of copies is one from here on) are dealt to shards by
+   vantage-point trees. At a node with vantage point v and radius m a fingerprint x goes
+   inside if d(x, v) <= m, else outside; by the triangle inequality an outside fingerprint
+   can link to an inside one only if d(x, v) <= m + radius, so only those are copied inside
+   as well. Every linked pair then meets in a shard. A tree is fitted on a bounded sample
+   (`sample` fingerprints and an eighth of all at most, in expectation, chosen by hash);
+   every fingerprint is routed. Shards of more than twice `shard_size` get a tree of their
+   own, level by level, until none is left but those that no vantage point splits.
 3. Each shard builds its own tree to small leaves and compares pairs there. It returns one
-   row per linked fingerprint with the least fingerprint of its class, never pairs.
+   row per linked fingerprint with the least fingerprint of its class, never pairs. A large
+   shard that nothing splits is a ball of few bits; its fingerprints are dealt over tasks
+   that each look up the flips of their own part in the whole ball.
 4. Classes that share a fingerprint are joined by connected components in Spark.
 
 Exact: no cap on partners or candidates. Defined results: null, empty and blank texts have
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,53 +179,102 @@ def classes(x: np.ndarray, radius: int, leaf: int = 512, seed: int = 11) -> np.n
     return labels.of
 
 
+def _flips(y: np.ndarray, own: np.ndarray, at: np.ndarray, radius: int, labels: Labels) -> None:
+    """Links of the fingerprints at positions `own` of the sorted set y, by flipping bits."""
+    for k in range(1, radius + 1):
+        for bits in itertools.combinations(range(64), k):
+            probe = y[own] ^ np.uint64(sum(1 << b for b in bits))
+            pos = np.searchsorted(y, probe)
+            pos[pos == len(y)] = 0
+            hit = np.nonzero(y[pos] == probe)[0]
+            labels.merge(at[own[hit]], at[pos[hit]])
+
+
 def _dense(y: np.ndarray, at: np.ndarray, radius: int, labels: Labels) -> None:
     """All pairs of a set that no vantage point splits: in blocks, or by flipping bits if that is less work."""
     flips = sum(math.comb(64, k) for k in range(1, radius + 1))
     if len(y) > 100 * flips:
-        for k in range(1, radius + 1):
-            for bits in itertools.combinations(range(64), k):
-                probe = y ^ np.uint64(sum(1 << b for b in bits))
-                pos = np.searchsorted(y, probe)
-                pos[pos == len(y)] = 0
-                hit = np.nonzero(y[pos] == probe)[0]
-                labels.merge(at[hit], at[pos[hit]])
-        return
+        return _flips(y, np.arange(len(y)), at, radius, labels)
     for s in range(0, len(y), 256):
         i, j = np.nonzero(distance(y[s : s + 256, None], y[None, s:]) <= radius)
         labels.merge(at[s + i], at[s + j])
 
 
-def components(prints: DataFrame, radius: int = 2, shard_size: int = 16384, sample: int = 32768) -> DataFrame:
+def _trees(crowd: DataFrame, sizes: dict[int, int], radius: int, shard_size: int, sample: int) -> dict[int, tuple[Node, int]]:
+    """crowd: shard, fp -> a tree and its number of leaves for each shard; each is fitted in a task on a sample of its shard."""
+    rates = crowd.sparkSession.createDataFrame([(s, min(1 / 8, sample / n), max(1, math.ceil(math.log2(n / shard_size)))) for s, n in sizes.items()], "shard long, rate double, depth int")
+    chosen = crowd.join(F.broadcast(rates), "shard").filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.col("rate") * F.lit(1 << 20))  # shards of over 2 * shard_size
+
+    def fit(table: pa.Table) -> pa.Table:
+        points = np.sort(table.column("fp").to_numpy().view(np.uint64))
+        tree = fit_tree(points, table.column("depth")[0].as_py(), radius)
+        return pa.table({"shard": table.column("shard")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    made = chosen.groupBy("shard").applyInArrow(fit, "shard long, tree binary").collect()  # a node for each 32 sampled fingerprints
+    return {r.shard: pickle.loads(r.tree) for r in made}
+
+
+def _deal(distinct: DataFrame, n: int, radius: int, shard_size: int, sample: int) -> tuple[DataFrame, DataFrame | None]:
+    """fp -> (shard, fp) of shards of bounded size, and (shard, fp, part, own) of larger ones that nothing splits, by parts."""
+    limit = 2 * shard_size
+    crowd = distinct.select(F.lit(0).cast("long").alias("shard"), "fp")
+    sizes, done, balls, first = {0: n} if n > limit else {}, None if n > limit else crowd, None, 1
+    while sizes:
+        trees, offset = _trees(crowd, sizes, radius, shard_size, sample), {}
+        for shard, (_, leaves) in sorted(trees.items()):
+            offset[shard] = first
+            first += leaves
+
+        def route_all(batches: Iterator[pa.RecordBatch], trees=trees, offset=offset) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                shards, x = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+                for shard in np.unique(shards).tolist():
+                    mine = x[shards == shard]
+                    tree, _ = trees.get(shard, (None, 0))
+                    for leaf, at in route(tree, mine, radius) if tree else [(None, np.arange(len(mine)))]:
+                        to = shard if leaf is None else offset[shard] + leaf
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), to)), pa.array(mine[at].view(np.int64)), pa.array(np.full(len(at), shard))], names=["shard", "fp", "parent"])
+
+        routed = materialize(crowd.mapInArrow(route_all, "shard long, fp long, parent long"), "simhash-shards")
+        large = routed.groupBy("shard", "parent").count().filter(F.col("count") > limit).collect()  # one in `limit` fingerprints at most
+        # a part that hardly shrank is a ball
+        stuck = {r["shard"]: r["count"] for r in large if r["count"] > 0.9 * sizes[r["parent"]]}
+        sizes = {r["shard"]: r["count"] for r in large if r["shard"] not in stuck}
+        kinds = distinct.sparkSession.createDataFrame([(s, s in stuck) for s in [*stuck, *sizes]], "shard long, ball boolean")
+        fits = routed.join(F.broadcast(kinds), "shard", "left_anti").select("shard", "fp")
+        done = fits if done is None else done.union(fits)
+        if stuck:
+            parts = distinct.sparkSession.createDataFrame([(s, -(-c // limit)) for s, c in stuck.items()], "shard long, parts int")
+            ball = routed.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            ball = ball.select("shard", "fp", "part", (F.pmod(F.xxhash64("fp"), F.col("parts")) == F.col("part")).alias("own"))
+            balls = ball if balls is None else balls.union(ball)
+        crowd = routed.join(F.broadcast(kinds.filter("not ball")), "shard").select("shard", "fp")
+    return done, balls
+
+
+def components(prints: DataFrame, radius: int = 2, shard_size: int = 4096, sample: int = 32768) -> DataFrame:
     """prints: fp, id -> fp, root (one fingerprint of the component), component_id (its smallest id), one row per fingerprint."""
-    spark = prints.sparkSession
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("lo")), "simhash-distinct")
-    n = distinct.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / shard_size)))
-    points = np.zeros(0, np.uint64)
-    if depth:
-        rate = min(1 / 8, sample / n)
-        chosen = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(rate * (1 << 20))).select("fp").orderBy("fp")
-        points = np.array([r[0] for r in chosen.collect()], np.int64).view(np.uint64)
-    root, n_shards = fit_tree(points, depth, radius)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column(0).to_numpy().view(np.uint64)
-            for shard, at in route(root, x, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(x[at].view(np.int64))], names=["shard", "fp"])
 
-    def link(table: pa.Table) -> pa.Table:
-        x = np.unique(table.column("fp").to_numpy().view(np.uint64))
-        of = classes(x, radius)
+    def classed(x: np.ndarray, of: np.ndarray) -> pa.Table:
         linked = np.bincount(of, minlength=len(x))[of] > 1
         return pa.table({"fp": x[linked].view(np.int64), "cls": x[of[linked]].view(np.int64)})
 
-    if n_shards == 1:
-        dealt = distinct.select(F.lit(0).alias("shard"), "fp")
-    else:
-        dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long")
-    member = materialize(dealt.groupBy("shard").applyInArrow(link, "fp long, cls long").distinct(), "simhash-classes")
+    def link(table: pa.Table) -> pa.Table:
+        x = np.unique(table.column("fp").to_numpy().view(np.uint64))
+        return classed(x, classes(x, radius))
+
+    def link_part(table: pa.Table) -> pa.Table:
+        x, at = np.unique(table.column("fp").to_numpy().view(np.uint64), return_index=True)
+        labels = Labels(len(x))
+        _flips(x, np.nonzero(table.column("own").to_numpy(zero_copy_only=False)[at])[0], np.arange(len(x)), radius, labels)
+        return classed(x, labels.of)
+
+    dealt, balls = _deal(distinct.select("fp"), distinct.count(), radius, shard_size, sample)
+    found = dealt.groupBy("shard").applyInArrow(link, "fp long, cls long")
+    if balls is not None:
+        found = found.union(balls.groupBy("shard", "part").applyInArrow(link_part, "fp long, cls long"))
+    member = materialize(found.distinct(), "simhash-classes")
     own = member.groupBy("fp").agg(F.min("cls").alias("own"), F.max("cls").alias("other"))
     # a fingerprint of several classes joins them, each to its least one
     many = own.filter("own < other").select("fp", "own")
@@ -250,5 +303,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     roots = components(prints.select("fp", "id"), radius).select("fp", "root")
     first = F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("first")
     kept = prints.select("uid", "fp", "id").join(roots, "fp").groupBy("root").agg(first).select(F.col("first.uid").alias("uid"))
-    out = prints.select("uid", "row").join(kept.hint("shuffle_hash"), "uid", "left_semi")
+    out = prints.select("uid", "row").join(kept, "uid", "left_semi")
     return out.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)])

@@ -82,6 +82,35 @@ def test_a_set_that_no_vantage_point_splits():
     assert len(set(simhash.classes(x, 0, leaf=64).tolist())) == len(x)
 
 
+def components_of(spark, x, **limits):
+    signed = [v - 2**64 if v >= 2**63 else v for v in x]
+    rows = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, id long")
+    got = {r.fp: r.component_id for r in simhash.components(rows, 2, **limits).collect()}
+    return [got[f] for f in signed]
+
+
+def test_large_balls_are_dealt_over_tasks(spark):
+    """All fingerprints within two bits of a point, and others: nothing splits the ball, and no shard is left above its bound."""
+    base = 0x0F1E2D3C4B5A6978
+    x = sorted({base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(64)} | set(random_prints(400, seed=9)))
+    got = components_of(spark, x, shard_size=100, sample=4000)
+    one = simhash.classes(np.array(x, np.uint64), 2).tolist()
+    assert got == one
+    distinct = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in x], "fp long")
+    dealt, balls = simhash._deal(distinct, len(x), 2, 100, 4000)
+    assert max(r["count"] for r in dealt.groupBy("shard").count().collect()) <= 200
+    assert balls is not None and max(r["count"] for r in balls.filter("own").groupBy("shard", "part").count().collect()) <= 300
+
+
+def test_shards_are_split_again(spark):
+    """A sample too small for the first tree leaves large shards, which get trees of their own."""
+    x = random_prints(4000, seed=5)
+    distinct = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in x], "fp long")
+    dealt, _ = simhash._deal(distinct, len(x), 2, 150, 200)
+    sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+    assert max(sizes) <= 300 and len(sizes) > 12
+
+
 def test_drop_keeps_one_row_of_each_group(spark):
     rows = fixtures.awkward()
     docs = fixtures.frame(spark, rows)
