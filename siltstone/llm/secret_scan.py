@@ -1,31 +1,38 @@
 """Secret scanning through an incremental blob ledger, with DataFrame functions only.
 
-Every version of every text is addressed by the SHA-256 of its content. The ledger holds
-one row per (blob, rule version) that was ever scanned; only pairs that it lacks are
-scanned, each blob once however many paths hold it, and findings are joined back to all
-paths. Matches are found by Java regular expressions in the scan stage; their offsets
-follow from the lengths of the matches and of the parts between them.
+Every version of every text is addressed by the SHA-256 of its content. The ledger, a table
+in a folder that outlives the session, has for each blob what was scanned for (rule and
+version of the rule) and what was found. Only pairs of blob and rule version that it lacks are
+scanned, each blob once however many paths and rows hold it: a new rule, or a rule's new
+version, is the only one that known blobs are scanned for. Each call appends one set of files
+when its scan is complete, so a call that fails leaves the ledger as it was. Findings are
+joined back to all paths. Matches are found by Java regular expressions in the scan stage;
+their offsets follow from the lengths of the matches and of the parts between them.
 
 Rules: the three base kinds of the contract, and four more that the method adds (private
 key headers, JSON web tokens, two vendors' token forms).
 
-Skew: blobs are picked by a join on the record's id, not on the blob, so a text that makes
-up a third of the corpus is not gathered anywhere; joining findings back is a plain
-equi-join whose skewed side AQE splits.
+Skew: a text that makes up a third of the corpus is folded where it is scanned, before any
+shuffle, and leaves each task once; joining findings back is a plain equi-join of digests
+whose skewed side AQE splits.
 
-Defined results: null text counts as empty; rows with equal id and text are scanned once
-and keep their rows; a null id is a path of its own; an empty table gives an empty result.
-Only the named columns are looked at.
+Defined results: null text counts as empty; repeated rows keep their rows; a null id is a path
+of its own; an empty table gives an empty result; two calls that append at a time may scan
+a blob twice, and its findings count once. Only the named columns are looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.plans.shared import materialize
+from siltstone.plans.shared import shared_dir
 
-RULE_VERSION = "1"
+#: raise a rule's number when its pattern changes
+VERSIONS = {"assign": 1, "access": 1, "hex": 1, "pem": 1, "jwt": 1, "forge": 1, "chat": 1}
+LEDGER = "blob_id binary, scanned array<string>, found array<struct<start:int,end:int,rule:string>>"
 KEYWORD = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
 #: kind, pattern, least length of the whole match (of group 2 for assign), cheap test
 BASE = [
@@ -66,32 +73,57 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def rule_names() -> list[str]:
+    return [f"{r[0]}@{VERSIONS[r[0]]}" for r in [*BASE, *EXTRA]]
+
+
 def scan(blobs: DataFrame) -> DataFrame:
-    """blobs: blob_id, text -> ledger rows."""
-    text = F.coalesce("text", F.lit(""))
-    rules = [*BASE, *EXTRA]
-    found = blobs.select("blob_id", *[_spans(text, k, *rule).alias(rule[0]) for k, rule in enumerate(rules)])
-    base = F.array_sort(F.concat(*[F.col(r[0]) for r in BASE]))
-    every = F.array_sort(F.concat(*[F.col(r[0]) for r in rules]))
-    counts = [F.size(r[0]).cast("long").alias(f"n_{r[0]}") for r in BASE]
-    return found.select("blob_id", F.lit(RULE_VERSION).alias("rule_version"), *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(every).alias("spans"))
-
-
-def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Findings for every row of versions, and the ledger with what this call added (written to the shared folder)."""
-    own = versions.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    own = own.withColumn("blob_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    unseen = own.groupBy("blob_id").agg(F.min("path").alias("path"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob_id"), "blob_id", "left_anti")
-    # the record that stands for each unseen blob; the key is the record, so copies stay spread
-    chosen = own.select("path", "text", "blob_id").join(unseen.hint("shuffle_hash"), ["path", "blob_id"], "left_semi")
-    scanned = scan(chosen.select("blob_id", "text"))
-    added = materialize(scanned.groupBy("blob_id", "rule_version").agg(*[F.first(c).alias(c) for c in scanned.columns[2:]]), "secret-ledger")
-    full = added if ledger is None else ledger.unionByName(added)
-    now = full.filter(F.col("rule_version") == RULE_VERSION).drop("rule_version")
-    findings = own.select("id", "blob_id").join(now, "blob_id").select(F.col("id").alias(id_col), *[f"n_{r[0]}" for r in BASE], "base_sha256", "spans")
-    return findings, full
+    """blobs: blob_id, text, missing (rules to scan for) -> ledger rows."""
+
+
+    def found(k: int, rule: tuple, name: str) -> Column:
+        spans = F.when(F.array_contains("missing", name), _spans(F.col("text"), k, *rule))
+        named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(name).alias("rule")))
+        return F.coalesce(named, F.array().cast("array<struct<start:int,end:int,rule:string>>"))
+
+    parts = [found(k, rule, name) for k, (rule, name) in enumerate(zip([*BASE, *EXTRA], rule_names()))]
+    return blobs.select("blob_id", F.col("missing").alias("scanned"), F.concat(*parts).alias("found"))
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger, without rows where nothing has been written yet."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def scan_versions(versions: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scan what the ledger in `folder` lacks, append it there, and return the findings for every row of versions."""
+    spark = versions.sparkSession
+    own = versions.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = own.withColumn("blob_id", F.unhex(F.sha2("text", 256)))
+    rules = F.array(*[F.lit(x) for x in rule_names()])
+    seen = read_ledger(spark, folder).groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_set("scanned"))).alias("seen"))  # a row for each scan of the blob
+    blobs = own.groupBy("blob_id").agg(F.first("text").alias("text"))
+    missing = F.array_except(rules, F.coalesce("seen", F.array().cast("array<string>")))
+    unseen = blobs.join(seen, "blob_id", "left").select("blob_id", "text", missing.alias("missing")).filter(F.size("missing") > 0)
+    scan(unseen).write.mode("append").option("compression", "zstd").parquet(folder)
+    order = F.create_map(*[x for k, name in enumerate(rule_names()) for x in (F.lit(name), F.lit(k))])
+    # rules in force, once each, in the order of starts and rules
+    current = F.transform(F.array_distinct(F.flatten(F.collect_list("found"))), lambda s: F.struct(s["start"].alias("start"), order[s["rule"]].alias("number"), s["end"].alias("end"), F.substring_index(s["rule"], "@", 1).alias("kind")))
+    now = read_ledger(spark, folder).groupBy("blob_id").agg(F.array_sort(F.filter(current, lambda s: s["number"].isNotNull())).alias("every"))
+    base = F.filter("every", lambda s: s["number"] < len(BASE))
+    count = lambda k: F.size(F.filter("every", lambda s: s["number"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{r[0]}") for k, r in enumerate(BASE)]
+    now = now.select("blob_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("every")).alias("spans"))
+    return own.select("id", "blob_id").join(now, "blob_id").select(F.col("id").alias(id_col), *[f"n_{r[0]}" for r in BASE], "base_sha256", "spans")
+
+
+def new_ledger(spark: SparkSession) -> str:
+    """A folder for a ledger that no call has used."""
+    return f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/secret-ledger-{uuid.uuid4().hex}"
 
 
 def oracle_sql() -> str:

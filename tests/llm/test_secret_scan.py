@@ -32,7 +32,7 @@ def texts(n: int = 250) -> list[str]:
 
 def test_spans_of_every_document(spark):
     rows = fixtures.awkward() + [fixtures.row(1000 + i, t) for i, t in enumerate(texts())]
-    got = secret_scan.scan_versions(fixtures.frame(spark, rows))[0].collect()
+    got = scanned(spark, rows).collect()
     assert len(got) == len(rows)
     by = {}
     for r in rows:
@@ -52,26 +52,44 @@ def test_sql_agrees(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     rows = fixtures.awkward() + [fixtures.row(1000 + i, t) for i, t in enumerate(texts())]
     con.executemany("INSERT INTO documents VALUES (?, ?)", [(r[0], r[1]) for r in rows])
-    assert_agree(secret_scan.scan_versions(fixtures.frame(spark, rows))[0], con, secret_scan.oracle_sql())
+    assert_agree(scanned(spark, rows), con, secret_scan.oracle_sql())
 
 
-def test_ledger_scans_unseen_blobs_only(spark, monkeypatch):
-    first = fixtures.frame(spark, [fixtures.row(1, "token=abcdefgh1"), fixtures.row(2, "nothing")])
-    _, ledger = secret_scan.scan_versions(first)
-    assert ledger.count() == 2
-    second = fixtures.frame(spark, [fixtures.row(3, "token=abcdefgh1"), fixtures.row(4, "secret: abcdefgh2"), fixtures.row(5, "secret: abcdefgh2")])
-    findings, grown = secret_scan.scan_versions(second, ledger=ledger)
-    assert grown.count() == 3
-    assert sorted((r.doc_id, r.n_assign) for r in findings.collect()) == [(3, 1), (4, 1), (5, 1)]
-    monkeypatch.setattr(secret_scan, "RULE_VERSION", "2")
-    findings, again = secret_scan.scan_versions(second, ledger=grown)
-    assert again.count() == 5 and findings.count() == 3  # two blobs under the new rules
+def scanned(spark, rows, folder=None):
+    return secret_scan.scan_versions(fixtures.frame(spark, rows), folder or secret_scan.new_ledger(spark))
+
+
+def test_ledger_scans_unseen_blobs_only(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "ledger")
+    ledger = lambda: secret_scan.read_ledger(spark, folder).collect()
+    scanned(spark, [fixtures.row(1, "token=abcdefgh1"), fixtures.row(2, "nothing")], folder)
+    assert len(ledger()) == 2
+    second = [fixtures.row(3, "token=abcdefgh1"), *[fixtures.row(4, "secret: abcdefgh2")] * 5, fixtures.row(5, "secret: abcdefgh2")]
+    findings = scanned(spark, second, folder)
+    assert len(ledger()) == 3  # one blob was new, and stands in six rows
+    assert sorted((r.doc_id, r.n_assign) for r in findings.collect()) == [(3, 1), *[(4, 1)] * 5, (5, 1)]
+    scanned(spark, second, folder)
+    assert len(ledger()) == 3
+    # a rule's new version is the only one scanned for, and its old findings no longer count
+    monkeypatch.setitem(secret_scan.VERSIONS, "assign", 2)
+    monkeypatch.setattr(secret_scan, "BASE", [("assign", secret_scan.KEYWORD + r"(:\x20[a-z0-9]+)", 8, None), *secret_scan.BASE[1:]])
+    findings = scanned(spark, second, folder)
+    assert sorted((r.doc_id, r.n_assign) for r in findings.collect()) == [(3, 0), *[(4, 1)] * 5, (5, 1)]
+    assert sorted(r.scanned for r in ledger())[-2:] == [["assign@2"]] * 2 and len(ledger()) == 5
+
+
+def test_a_blob_scanned_twice_counts_once(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    row = [fixtures.row(1, "token=abcdefgh1")]
+    scanned(spark, row, folder)
+    secret_scan.read_ledger(spark, folder).coalesce(1).write.mode("append").parquet(folder)
+    assert [r.n_assign for r in scanned(spark, row, folder).collect()] == [1]
 
 
 def test_main_path_is_native(spark):
-    plan = secret_scan.scan_versions(fixtures.frame(spark, fixtures.awkward()))[0]._jdf.queryExecution().toString()
+    plan = scanned(spark, fixtures.awkward())._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def test_empty(spark):
-    assert secret_scan.scan_versions(fixtures.frame(spark, []))[0].count() == 0
+    assert scanned(spark, []).count() == 0
