@@ -11,8 +11,10 @@ backslash is put before the bar, so `<|` occurs in the template's own marks only
 backslashes and newlines are escaped too, as the header ends at its newline.
 
 Rows come sorted by conversation and turn out of one shuffle and are streamed; a task holds
-one conversation at a time. A conversation longer than `piece` characters is encoded in
-pieces that end at turns, which changes no mask.
+one conversation at a time. Of a conversation longer than `piece` characters no more than
+that is encoded at a time: pieces end between a turn's last newline and the next turn's
+mark, where the tokenizer's own first step always splits (a lone newline, then a sign), so
+the tokens are those of the whole.
 
 Defined results: null text and null role count as empty; rows of a null conversation form
 one conversation; turns are ordered by turn (null first), then role, then text, so ties

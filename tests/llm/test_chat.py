@@ -27,6 +27,7 @@ def test_round_trip_and_mask(turns):
         assert chat.parse(out["text"]) == turns
         assert out["learned"] == "".join(t for r, t in turns if r == "assistant")
         assert len(out["ids"]) == len(out["loss"])
+        assert out["ids"] == encode(out["text"]).ids  # pieces give the tokens of the whole
         assert out["text"].count(chat.START) == out["text"].count(chat.END) == len(turns)
 
 
