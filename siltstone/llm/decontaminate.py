@@ -7,10 +7,12 @@
    in Spark by blocks of words; only words x rank numbers reach the driver.
 3. Every window of every text (`window` words, half overlapping) is projected and compared
    with all benchmark passages of a slice in blocks; pairs of cosine `min_cos` or more are
-   candidates. A slice holds about `slice_items` items, so what executors hold is bounded
-   whatever the benchmark's size; more items mean more slices. A window must also cover
-   `min_cover` of the passage's length in that direction, which a whole or paraphrased
-   passage does and shared frequent words do not.
+   candidates. A slice holds about `slice_words` words of items (at least one item), so what
+   the driver and executors hold is bounded whatever the benchmark's size; more words mean
+   more slices. A window must also cover `min_cover` of the passage's length in that
+   direction, which a whole or paraphrased passage does and shared frequent words do not.
+   A run of RUN words that stands in a passage makes a candidate as well, whatever the
+   latent space keeps of it, so no word-for-word copy depends on the rank.
 4. A candidate is checked on the text around the window by longest common subsequence of
    words (bit-parallel, then weighted by inverse frequency, so that shared function words
    don't count), and in the paraphrase range also by its answer: the words of the answer
@@ -24,7 +26,8 @@ spans its frequent words and loses the rare ones that tell passages apart.
 Defined results: null texts and items count as empty and match nothing; an item with fewer
 than `min_words` words matches only where its words stand in a row (and those of the answer
 column, if there is one, within a window around them), with cosine and share 1; the share of
-a match by a window of an item is that of the window; a match is one row per
+a match by a window of an item is that of the window; the cosine is 0 where only a run of
+words made the candidate; a match is one row per
 document row and item; repeated rows give repeated matches; empty tables give no match.
 Only the named columns are looked at.
 """
@@ -34,7 +37,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,7 @@ from siltstone.plans.shared import arrow_bounds
 
 WORDS = re.compile(r"[^\W_]+")
 BLOCK = 256
+RUN = 8
 
 
 def words_of(text: str | None) -> list[str]:
@@ -167,9 +171,11 @@ class Matcher:
             self.short.setdefault(len(item.ids), {}).setdefault(int(grams(item.ids, len(item.ids))[0]), []).append(item)
         self.vocab, self.items, self.half, self.min_cos, self.min_lcs, self.sure, self.weight = vocab, items, window // 2, min_cos, min_lcs, sure, weight
         self.w = np.vstack([basis * weight[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-        rows, self.owner, self.parts = [], [], []
+        rows, self.owner, self.parts, runs, run_of = [], [], [], [], []
         for k, item in enumerate(items):
             for a, b in _windows(len(item.ids), self.half):
+                runs.append(grams(item.ids[a:b], RUN))
+                run_of.append(np.full(len(runs[-1]), len(rows)))
                 rows.append(self.w[item.ids[a:b]].sum(axis=0))
                 self.owner.append(k)
                 self.parts.append(Item(item.key, item.ids[max(0, b - window) : b].tolist(), item.answer, weight) if len(item.ids) > window else None)
@@ -178,6 +184,32 @@ class Matcher:
         self.passages = (p / np.maximum(norm, 1e-9)).T.copy()
         self.least = min_cover * norm[:, 0]  # a window must cover that part of the passage's own length
         self.owner = np.array(self.owner)
+        run, passage = np.concatenate([np.zeros(0, np.uint64), *runs]), np.concatenate([np.zeros(0, np.int64), *run_of])
+        by = np.lexsort((passage, run))
+        self.runs, first = np.unique(run[by], return_index=True)
+        self.run_ends, self.run_of = np.append(first, len(by)), passage[by]
+
+    def copies(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
+        """(text, start word, passage, 0) of each passage of which a run of words stands in the text, once per window."""
+        gap = [np.full(RUN, -1, np.int64)]
+        ids = np.concatenate([x for t in texts for x in (t, *gap)] or gap)
+        known = np.convolve(ids < 0, np.ones(RUN, np.int64), "valid") == 0 if len(ids) >= RUN else np.zeros(0, bool)
+        at = np.nonzero(known)[0]
+        if not len(at) or not len(self.runs):
+            return
+        h = grams(ids, RUN)[at]
+        pos = np.searchsorted(self.runs, h)
+        pos[pos == len(self.runs)] = 0
+        hit = np.nonzero(self.runs[pos] == h)[0]
+        ends = np.cumsum([len(t) + RUN for t in texts])
+        owner = np.searchsorted(ends, at[hit], "right")
+        start = at[hit] - np.append(0, ends)[owner]
+        done = set()
+        for d, s, r in zip(owner.tolist(), start.tolist(), pos[hit].tolist()):
+            for j in self.run_of[self.run_ends[r] : self.run_ends[r + 1]].tolist():
+                if (d, j, s // (2 * self.half)) not in done:
+                    done.add((d, j, s // (2 * self.half)))
+                    yield d, s, j, 0.0
 
     def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
         """(text, start word, passage, cosine) of each window and passage that are close."""
@@ -224,7 +256,7 @@ class Matcher:
             w = words_of(t)
             ids.append(np.fromiter(map(get, w, repeat(-1)), np.int64, len(w)))
         best: dict[tuple[int, int], tuple[float, float, int]] = {}
-        for d, start, j, cos in self.candidates(ids) if self.items else ():
+        for d, start, j, cos in chain(self.candidates(ids), self.copies(ids)) if self.items else ():
             k = int(self.owner[j])
             if (d, k) in best and best[d, k][0] >= 0.999:
                 continue
@@ -266,11 +298,12 @@ class Matcher:
                     yield item, at
 
 
-def _matchers(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, item_text: str, answer_col: str | None, window: int, rank: int, min_cos: float, min_cover: float, min_lcs: float, sure: float, min_words: int, slice_items: int):
+def _matchers(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, item_text: str, answer_col: str | None, window: int, rank: int, min_cos: float, min_cover: float, min_lcs: float, sure: float, min_words: int, slice_words: int):
     spark = docs.sparkSession
     arrow_bounds(spark)
     own = bench.select(F.col(item_col).alias("key"), F.col(item_text).alias("text"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
-    slices = max(1, math.ceil(own.count() / slice_items))
+    words = own.agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")))).first()[0] or 0
+    slices = max(1, math.ceil(words / slice_words))
     for k in range(slices):
         rows = own.filter(F.pmod(F.xxhash64("key", "text"), F.lit(slices)) == k).orderBy("key", "text").collect()
         texts = [(r.key, words_of(r.text), words_of(r.answer) or words_of(re.split(r"[.!?]\s*(?=\S)", r.text.strip())[-1] if r.text else "")) for r in rows]
@@ -289,12 +322,12 @@ def _matchers(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, i
         yield spark.sparkContext.broadcast(Matcher(vocab, items, basis, weight, window, min_cos, min_cover, min_lcs, sure, short))
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 64, rank: int = 256, min_cos: float = 0.15, min_cover: float = 0.35, min_lcs: float = 0.6, sure: float = 0.85, min_words: int = 8, slice_items: int = 20_000) -> DataFrame:
+def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 64, rank: int = 256, min_cos: float = 0.15, min_cover: float = 0.35, min_lcs: float = 0.6, sure: float = 0.85, min_words: int = 8, slice_words: int = 250_000) -> DataFrame:
     """One row per document row and item it holds: id, item, cosine, share, start_word."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField(id_col, own.schema["id"].dataType), T.StructField(item_col, bench.schema[item_col].dataType), T.StructField("cosine", T.DoubleType()), T.StructField("share", T.DoubleType()), T.StructField("start_word", T.LongType())])
     out = None
-    for shared in _matchers(docs, bench, text_col, item_col, item_text, answer_col, window, rank, min_cos, min_cover, min_lcs, sure, min_words, slice_items):
+    for shared in _matchers(docs, bench, text_col, item_col, item_text, answer_col, window, rank, min_cos, min_cover, min_lcs, sure, min_words, slice_words):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
@@ -310,10 +343,10 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 64, rank: int = 256, min_cos: float = 0.15, min_cover: float = 0.35, min_lcs: float = 0.6, sure: float = 0.85, min_words: int = 8, slice_items: int = 20_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 64, rank: int = 256, min_cos: float = 0.15, min_cover: float = 0.35, min_lcs: float = 0.6, sure: float = 0.85, min_words: int = 8, slice_words: int = 250_000) -> DataFrame:
     """The rows of docs that hold no item, with their columns."""
     names, at = docs.columns, docs.columns.index(text_col)
-    for shared in _matchers(docs, bench, text_col, item_col, item_text, answer_col, window, rank, min_cos, min_cover, min_lcs, sure, min_words, slice_items):
+    for shared in _matchers(docs, bench, text_col, item_col, item_text, answer_col, window, rank, min_cos, min_cover, min_lcs, sure, min_words, slice_words):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = shared.value

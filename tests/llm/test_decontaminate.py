@@ -80,7 +80,7 @@ def test_clean_documents_stay(spark):
 
 def test_slices_give_the_same_leaks(spark):
     rows, items, leaks = corpus(3)
-    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(fixtures.frame(spark, rows), bench(spark, items), slice_items=9).collect()}
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(fixtures.frame(spark, rows), bench(spark, items), slice_words=300).collect()}
     assert got == leaks
 
 
@@ -120,3 +120,20 @@ def test_empty_tables(spark):
     docs = fixtures.frame(spark, fixtures.awkward())
     assert dc.find_leaks(docs, bench(spark, [])).count() == 0 and dc.drop_leaks(docs, bench(spark, [])).count() == len(fixtures.awkward())
     assert dc.find_leaks(fixtures.frame(spark, []), bench(spark, [(1, fixtures.ENGLISH)])).count() == 0
+
+
+def test_copies_do_not_depend_on_the_rank(spark):
+    """With one latent dimension left, word-for-word copies of items and of halves of long ones are still found."""
+    r = random.Random(7)
+    items = [(i, " ".join(words(r, n, f"q{i}x", 400))) for i, n in enumerate((12, 40, 120, 300))]
+    rows, want = [], set()
+    for d in range(40):
+        text = words(r, 200)
+        if d % 2 == 0:
+            b = items[d // 2 % 4][1].split()
+            half = b[: len(b) // 2] if len(b) > 250 else b
+            text[50:50] = half
+            want.add((d, d // 2 % 4))
+        rows.append(fixtures.row(d, " ".join(text)))
+    got = {(x.doc_id, x.item_id) for x in dc.find_leaks(fixtures.frame(spark, rows), bench(spark, items), rank=1, min_cos=0.999).collect()}
+    assert got == want
