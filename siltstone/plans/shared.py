@@ -7,6 +7,7 @@ not the whole lineage.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset and all runs on this machine (tests), one of our own."""
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="siltstone-")
@@ -51,6 +54,7 @@ def drop_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_bounds(spark: SparkSession, rows: int = 512) -> None:
-    """Small Arrow batches: a batch of very long texts must still fit a Python worker."""
+def arrow_bounds(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
+    """Small Arrow batches for this session, by rows and by bytes: a batch of very long texts must still fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
