@@ -33,13 +33,13 @@ def candidate_columns(values: DataFrame, spec: Sequence[Example], fuzzy: bool =
     spark = values.sparkSession
     wanted = [(k, v) for k, e in enumerate(spec) for v in {x.strip().lower() for x in e.values} if v]
     need = {k: sum(p == k for p, _ in wanted) for k in range(len(spec))}
-    examples = spark.createDataFrame(wanted, "position int, example string")
-    if fuzzy:
-        allowed = F.when(F.length("example") < 3, edits_allowed("")).when(F.length("example") < 6, edits_allowed("aaa")).otherwise(edits_allowed("aaaaaa"))
-        near = F.levenshtein(F.col("value"), F.col("example")) <= allowed
-        hits = values.join(F.broadcast(examples), near)  # the user's examples
+    if fuzzy and wanted:
+        # the user's examples are part of the expression: one pass over the values, no join
+        fits = F.array(*[F.when(F.length("value").between(len(x) - edits_allowed(x), len(x) + edits_allowed(x)) & (F.levenshtein(F.col("value"), F.lit(x)) <= edits_allowed(x)), F.struct(F.lit(k).alias("position"), F.lit(x).alias("example"))) for k, x in wanted])
+        hits = values.select("source", "column_name", F.explode(F.array_compact(fits)).alias("x")).select("source", "column_name", "x.position", "x.example")
     else:
-        hits = values.join(F.broadcast(examples), F.col("value") == F.col("example"))
+        examples = spark.createDataFrame(wanted, "position int, example string")
+        hits = values.join(examples, F.col("value") == F.col("example"))
     by_cell = hits.groupBy("position", "source", "column_name").agg(F.count_distinct("example").alias("n_examples"))
     names = values.select("source", "column_name").distinct()
     asked = spark.createDataFrame([(k, e.attribute.strip().lower()) for k, e in enumerate(spec) if e.attribute.strip()], "position int, attribute string")
@@ -52,6 +52,24 @@ def candidate_columns(values: DataFrame, spec: Sequence[Example], fuzzy: bool =
     return both.filter(F.col("n_examples") >= enough).select("position", "source", "column_name", F.col("n_examples").cast("long").alias("n_examples"), hit.alias("hit"))
 
 
+def candidates_or_fuzzy(values: DataFrame, spec: Sequence[Example], most: int = 50) -> DataFrame:
+    """position, example, source, column_name, hit (EXACT or FUZZY): for each example the columns that hold it, or, where none
+    does, those that hold a value within its edits; of each example the `most` columns with the most such cells."""
+    from pyspark.sql import Window
+
+    spark = values.sparkSession
+    wanted = sorted({(k, v) for k, e in enumerate(spec) for v in (x.strip().lower() for x in e.values) if v})
+    if not wanted:
+        return spark.createDataFrame([], "position int, example string, source string, column_name string, hit string")
+    one = lambda k, x: F.struct(F.lit(k).alias("position"), F.lit(x).alias("example"), F.levenshtein(F.col("value"), F.lit(x)).alias("d"))
+    near = F.array_compact(F.array(*[F.when(F.length("value").between(len(x) - edits_allowed(x), len(x) + edits_allowed(x)) & (F.levenshtein(F.col("value"), F.lit(x)) <= edits_allowed(x)), one(k, x)) for k, x in wanted]))
+    hits = values.select("source", "column_name", "cnt", F.explode(near).alias("x")).groupBy("x.position", "x.example", "source", "column_name").agg(F.sum("cnt").alias("n"), F.sum(F.when(F.col("x.d") == 0, F.col("cnt")).otherwise(0)).alias("same"))
+    per = Window.partitionBy("position", "example")
+    kept = hits.withColumn("exact", F.max("same").over(per) > 0).filter("not exact or same > 0").withColumn("m", F.when(F.col("exact"), F.col("same")).otherwise(F.col("n")))
+    best = kept.withColumn("r", F.row_number().over(per.orderBy(F.desc("m"), "source", "column_name"))).filter(F.col("r") <= most)  # a row per column
+    return best.select("position", "example", "source", "column_name", F.when(F.col("exact"), "EXACT").otherwise("FUZZY").alias("hit"))
+
+
 def best_clusters(candidates: DataFrame, similar: DataFrame) -> DataFrame:
     """Candidates of a position that are similar to each other (similar: src, dst) form clusters, scored by their
     largest number of examples; only the best clusters stay."""

@@ -73,11 +73,23 @@ def find_paths(edges: DataFrame, start: str, target: str, most_hops: int = 3, mo
     return level_paths(edges, start, most_hops, mode).filter(F.col("node") == target).select("path", "hops")
 
 
-def shortest_paths(edges: DataFrame, start: str, target: str, most_hops: int = 5) -> DataFrame:
-    """All paths of the least length."""
-    found = find_paths(edges, start, target, most_hops, "simple")
-    least = found.agg(F.min("hops").alias("hops"))
-    return found.join(F.broadcast(least), "hops").select("path", "hops")  # one row
+def shortest_paths(edges: DataFrame, start: str, target: str, most_hops: int | None = None) -> DataFrame:
+    """All paths of the least length: path, hops. Nodes are visited once, level by level, up to the level that reaches the
+    target (or until none is left); paths are then read back along the steps between levels."""
+    pairs = materialize(edges.select("src", "dst").distinct(), "graph-edges")
+    seen = fringe = pairs.sparkSession.createDataFrame([(start,)], "node string")
+    steps: list[DataFrame] = []
+    while most_hops is None or len(steps) < most_hops:
+        ahead = pairs.join(fringe, pairs["src"] == fringe["node"], "left_semi").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        steps.append(materialize(ahead.select("src", "dst"), "graph-steps"))
+        fringe = steps[-1].select(F.col("dst").alias("node")).distinct()
+        seen = seen.union(fringe)
+        if steps[-1].isEmpty() or not steps[-1].filter(F.col("dst") == target).isEmpty():
+            break
+    paths = steps[-1].filter(F.col("dst") == target).select("src", F.array("src", "dst").alias("path")) if steps else pairs.select("src", F.array("src", "dst").alias("path")).limit(0)
+    for step in reversed(steps[:-1]):
+        paths = step.join(paths.withColumnRenamed("src", "at"), step["dst"] == F.col("at")).select("src", F.array_prepend("path", F.col("src")).alias("path"))
+    return paths.select("path", (F.size("path") - 1).alias("hops"))
 
 
 def traverse(edges: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:

@@ -34,17 +34,16 @@ def name_words(c: Column) -> Column:
     return F.array_except(F.array_distinct(cells.name_terms(c)), F.array(*[F.lit(w) for w in STOP]))
 
 
-def ancestors(classes: DataFrame, most_levels: int = 20) -> DataFrame:
-    """class_id, ancestor_id, distance; a class is its own ancestor at 0."""
-    up = materialize(classes.filter("parent_id is not null").select("class_id", "parent_id").distinct(), "classes")
-    now = classes.select("class_id", F.col("class_id").alias("ancestor_id"), F.lit(0).alias("distance")).distinct()
-    out = now
-    for level in range(1, most_levels + 1):
-        now = materialize(now.join(up.withColumnRenamed("class_id", "k"), F.col("ancestor_id") == F.col("k")).select("class_id", F.col("parent_id").alias("ancestor_id"), F.lit(level).alias("distance")).filter("class_id <> ancestor_id").distinct(), "ancestors")
-        if now.isEmpty():
-            break
-        out = out.unionByName(now)
-    return out.groupBy("class_id", "ancestor_id").agg(F.min("distance").alias("distance"))
+def ancestors(classes: DataFrame) -> DataFrame:
+    """class_id, ancestor_id, distance (the least); a class is its own ancestor at 0. Goes on until no pair is new, so
+    neither depth nor cycles matter."""
+    up = materialize(classes.filter("parent_id is not null").select(F.col("class_id").alias("k"), "parent_id").distinct(), "classes")
+    seen = now = materialize(classes.select("class_id", F.col("class_id").alias("ancestor_id"), F.lit(0).alias("distance")).distinct(), "ancestors")
+    while not now.isEmpty():
+        ahead = now.join(up, now["ancestor_id"] == up["k"]).select("class_id", F.col("parent_id").alias("ancestor_id"), (F.col("distance") + 1).alias("distance")).distinct()
+        now = materialize(ahead.join(seen.select("class_id", "ancestor_id"), ["class_id", "ancestor_id"], "left_anti"), "ancestors")
+        seen = seen.unionByName(now)
+    return seen
 
 
 def match_names(names: DataFrame, classes: DataFrame, least: float = 0.5) -> DataFrame:
@@ -63,6 +62,30 @@ def match_content(values: DataFrame, classes: DataFrame, least: float = 0.4) ->
     return hit.join(size, "parent_id").select("source", "column_name", "parent_id", F.round(F.col("k") / F.col("n"), 6).alias("share")).filter(F.col("share") >= least)
 
 
+def match_content_fuzzy(values: DataFrame, classes: DataFrame, least: float = 0.4, alike: float = 0.8) -> DataFrame:
+    """The same with values that nearly name a class: their edit distance is at most 1 - `alike` of the longer one's length.
+    Candidates share a chunk of the class's name: with d edits allowed, one of its d + 1 chunks stands unchanged in the
+    value, moved by d places at most, so equal (chunk, place) pairs are joined and nothing is compared with everything."""
+    kids = classes.filter("parent_id is not null").select("parent_id", F.lower("name").alias("name")).distinct()
+    size = kids.groupBy("parent_id").agg(F.count("*").alias("n"))
+    # the longer of the two is at most len / alike long, so the most edits follow from the class's name alone
+    edits = lambda n: F.floor((1 - alike) * n + 1e-9).cast("int")
+    own = kids.withColumn("d", edits(F.floor(F.length("name") / alike + 1e-9))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    at = lambda k: F.floor(k * F.length("name") / (F.col("d") + 1)).cast("int")
+    own = own.withColumns({"from": at(F.col("chunk")), "piece": F.substring("name", at(F.col("chunk")) + 1, at(F.col("chunk") + 1) - at(F.col("chunk")))})
+    probes = own.withColumn("place", F.explode(F.sequence(F.greatest(F.lit(0), F.col("from") - F.col("d")), F.col("from") + F.col("d")))).select("parent_id", "name", "piece", "place", F.length("piece").alias("wide"))
+    wides = probes.select("wide").distinct()
+    names = values.select("source", "column_name", "value").distinct()
+    most = classes.agg(F.max(F.length("name")).alias("longest"))
+    words = names.select("value").distinct().crossJoin(F.broadcast(most)).filter(F.length("value") * F.lit(alike) <= F.col("longest")).select("value")  # most is one row
+    grams = words.join(F.broadcast(wides), F.col("wide") <= F.length("value"))  # a row for each length of chunks
+    grams = grams.withColumn("place", F.explode(F.sequence(F.lit(0), F.length("value") - F.col("wide")))).withColumn("piece", F.substring("value", F.col("place") + 1, F.col("wide")))
+    near = grams.join(probes.drop("wide"), ["piece", "place"]).select("value", "parent_id", "name").distinct()
+    near = near.filter(F.levenshtein("value", "name") <= (1 - alike) * F.greatest(F.length("value"), F.length("name")) + 1e-9)
+    hit = names.join(near, "value").groupBy("source", "column_name", "parent_id").agg(F.count_distinct("name").alias("k"))
+    return hit.join(size, "parent_id").select("source", "column_name", "parent_id", F.round(F.col("k") / F.col("n"), 6).alias("share")).filter(F.col("share") >= least)
+
+
 def match_embeddings(pairs: DataFrame, positive: float, negative: float, strong: float = 0.9) -> DataFrame:
     """pairs: node, class_id, similarity (of a word of each) -> node, class_id, score, sign: 1 above `positive` (or with one
     pair above `strong`), -1 below `negative`; others are left out."""

@@ -95,25 +95,39 @@ class ResultSet:
         nodes = self.lineage.select(F.col("dst").alias("node")).distinct()
         return nodes.join(self.lineage.select(F.col("src").alias("node")), "node", "left_anti")
 
-    def lineage_paths(self, most_hops: int = 6) -> DataFrame:
-        """All simple paths from origins: origin, node, path, ops, score (of the hits along it)."""
+    def reached(self) -> DataFrame:
+        """origin, node: what each origin leads to, itself included; breadth first, until no pair is new."""
+        steps = materialize(self.lineage.select("src", "dst").distinct(), "lineage")
+        seen = new = materialize(self.origins().select(F.col("node").alias("origin"), "node"), "lineage-level")
+        while not new.isEmpty():
+            ahead = new.join(steps, new["node"] == steps["src"]).select("origin", F.col("dst").alias("node")).distinct()
+            new = materialize(ahead.join(seen, ["origin", "node"], "left_anti"), "lineage-level")
+            seen = seen.unionByName(new)
+        return seen
+
+    def lineage_paths(self, most_hops: int = 12) -> DataFrame:
+        """All simple paths from origins: origin, node, path, ops, score (of the hits along it). There may be very many;
+        an error is raised if some are longer than `most_hops`."""
         steps = materialize(self.lineage.select("src", "dst", "op").distinct(), "lineage")
         score = materialize(self.hits.select("node", "score"), "lineage-hits")
         now = self.origins().select(F.col("node").alias("origin"), "node", F.array("node").alias("path"), F.array().cast("array<string>").alias("ops"))
         out = None
-        for _ in range(most_hops + 1):
+        for _ in range(most_hops + 2):
             now = materialize(now, "lineage-level")
-            out = now if out is None else out.unionByName(now)
             if now.isEmpty():
                 break
+            out = now if out is None else out.unionByName(now)
             now = now.join(steps, now["node"] == steps["src"]).filter(~F.array_contains("path", F.col("dst")))
             now = now.select("origin", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("ops", F.col("op")).alias("ops"))
+        else:
+            raise RuntimeError(f"lineage has paths of more than {most_hops} hops")
+        out = now if out is None else out
         along = out.withColumn("_k", F.explode("path")).join(score.select(F.col("node").alias("_k"), "score"), "_k", "left")
         return along.groupBy("origin", "node", "path", "ops").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
 
     def why(self, node: str) -> DataFrame:
         """Origins that lead to the node."""
-        return self.lineage_paths().filter(F.col("node") == node).select("origin").distinct()
+        return self.reached().filter(F.col("node") == node).select("origin").distinct()
 
     def how(self, node: str) -> DataFrame:
         """One line for each path to the node."""
@@ -129,7 +143,7 @@ class ResultSet:
 
     def rank_coverage(self) -> DataFrame:
         """item, coverage: the share of origins that lead to a node (in table mode to any hit of the table)."""
-        reach = self.lineage_paths().select("origin", "node").distinct()
+        reach = self.reached()
         n = self.origins().agg(F.count("*").alias("n"))
         item = "node" if self.mode == FIELDS else "source"
         per = self.hits.select("node", "source").join(reach, "node").groupBy(F.col(item).alias("item")).agg(F.count_distinct("origin").alias("k"))

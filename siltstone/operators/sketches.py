@@ -2,7 +2,7 @@
 
 Hashes are reduced to 31 bits, so a * h + b stays below 2**63 and no expression overflows.
 Permutations are drawn from a seed and applied where the words are; only minima are
-shuffled, as one row per task and (column, permutation).
+shuffled, as one row per task and column.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ def words_of(values: DataFrame) -> DataFrame:
 
 
 def signatures(values: DataFrame, k: int = 128, seed: int = 1) -> DataFrame:
-    """source, column_name, signature array<long> of length k over the column's words."""
-    every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(permutations(k, seed))])
-    h = F.pmod(F.xxhash64("word"), F.lit(PRIME))
-    mins = words_of(values).select("source", "column_name", h.alias("h")).select("source", "column_name", F.explode(F.transform(every, lambda p: F.struct(p["i"].alias("i"), F.pmod(p["a"] * F.col("h") + p["b"], F.lit(PRIME)).alias("v")))).alias("x"))
-    least = mins.groupBy("source", "column_name", "x.i").agg(F.min("x.v").alias("v"))
-    return least.groupBy("source", "column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("signature"))
+    """source, column_name, signature array<long> of length k over the column's words: k minima of one pass, of which
+    each task shuffles one row per column."""
+    words = values.select("source", "column_name", F.explode(cells.terms(F.col("value"))).alias("word"))
+    hashed = words.select("source", "column_name", F.pmod(F.xxhash64("word"), F.lit(PRIME)).alias("h"))
+    least = [F.min(F.pmod(F.lit(a).cast("long") * F.col("h") + F.lit(b), F.lit(PRIME))).alias(f"m{i}") for i, (a, b) in enumerate(permutations(k, seed))]
+    return hashed.groupBy("source", "column_name").agg(*least).select("source", "column_name", F.array(*[F.col(f"m{i}") for i in range(k)]).alias("signature"))
 
 
 def one_permutation(values: DataFrame, buckets: int = 512) -> DataFrame:

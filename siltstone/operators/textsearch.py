@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import cells
+from siltstone.operators.prefix import running_sums
+from siltstone.operators.values import co_occurrence
 from siltstone.plans.shared import materialize, spread
 
 CONTENT, SCHEMA, TABLE, ENTITIES, METADATA = "content", "schema", "table", "entities", "metadata"
@@ -28,10 +30,19 @@ def _frequencies(words: Column, terms: Sequence[str]) -> list[Column]:
     return [F.size(F.filter(words, lambda w: w == t)).cast("long") for t in terms]  # noqa: B023  (called at once)
 
 
-def column_documents(values: DataFrame, query: str, domain: str = CONTENT) -> DataFrame:
-    """source, column_name, len, tf0, tf1, ...: a document per column (its distinct values, its name or its table's name)."""
+def column_documents(values: DataFrame, query: str, domain: str = CONTENT, labels: DataFrame | None = None) -> DataFrame:
+    """source, column_name, len, tf0, tf1, ...: a document per column: its distinct values, its name, its table's name, or for
+    ENTITIES and METADATA what labels (source, column_name, text) say of it: entities that the caller's recogniser found,
+    or notes."""
     keys = ["source", "column_name"]
     terms = query_terms(query)
+    if domain in (ENTITIES, METADATA):
+        if labels is None:
+            raise ValueError(f"a search of {domain} needs labels: source, column_name, text")
+        words = F.col("words")
+        return labels.select(*keys, cells.terms(F.coalesce("text", F.lit(""))).alias("words")).groupBy(*keys).agg(F.sum(F.size(words)).alias("len"), *[F.sum(x).alias(f"tf{k}") for k, x in enumerate(_frequencies(words, terms))])
+    if domain not in (CONTENT, SCHEMA, TABLE):
+        raise ValueError(f"{domain}: one of {(CONTENT, SCHEMA, TABLE, ENTITIES, METADATA)}")
     if domain == CONTENT:
         words = F.col("words")  # made once, below the aggregation
         return values.select(*keys, cells.terms(F.col("value")).alias("words")).groupBy(*keys).agg(F.sum(F.size(words)).alias("len"), *[F.sum(x).alias(f"tf{k}") for k, x in enumerate(_frequencies(words, terms))])
@@ -73,9 +84,9 @@ def bm25(documents: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, con
     return found.withColumn("score", F.round(score, 6)).drop(*drop)
 
 
-def search(values: DataFrame, query: str, domain: str = CONTENT, limit: int | None = 10, conjunctive: bool = False) -> DataFrame:
+def search(values: DataFrame, query: str, domain: str = CONTENT, limit: int | None = 10, conjunctive: bool = False, labels: DataFrame | None = None) -> DataFrame:
     """source, column_name, score, best first."""
-    out = bm25(column_documents(values, query, domain), query, conjunctive=conjunctive).select("source", "column_name", "score")
+    out = bm25(column_documents(values, query, domain, labels), query, conjunctive=conjunctive).select("source", "column_name", "score")
     return out.orderBy(F.desc("score"), "source", "column_name").limit(limit) if limit else out
 
 
@@ -142,11 +153,22 @@ def tfidf(postings: DataFrame, owner: list[str]) -> DataFrame:
 
 
 def cosine_pairs(vectors: DataFrame, owner: list[str], least: float) -> DataFrame:
-    """Pairs of owners (columns of a catalog) whose vectors share a term and have a cosine of `least` or more."""
-    key = F.struct(*owner)
-    a = vectors.select(F.col("term"), key.alias("a"), F.col("w").alias("wa"))
-    b = vectors.select(F.col("term"), key.alias("b"), F.col("w").alias("wb"))
-    dot = a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine") >= least)
+    """Pairs of owners (columns of a catalog) whose vectors of length 1 have a cosine of `least` or more.
+
+    Terms are ordered from rare to frequent. What is left of a vector behind the place where its length falls below
+    `least` can't bring a cosine of `least` by itself, so such pairs share a term before that place in both vectors. Only
+    these terms make candidates: a term that all columns share makes none. Candidates are then added up over all terms."""
+    vectors = materialize(vectors.withColumn("_owner", F.struct(*owner)).select("_owner", "term", "w"), "vectors")
+    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    # a number that orders terms by frequency and then by a hash
+    placed = vectors.join(df, "term").select("_owner", "term", "w", (F.col("df") + F.pmod(F.xxhash64("term"), F.lit(1 << 30)) / F.lit(float(1 << 31))).alias("place"), (F.col("w") * F.col("w")).alias("w2"))
+    before = running_sums(placed, ["_owner"], "place", ["w2"], then=("term",))
+    # the length from this term on, itself included
+    total = placed.groupBy("_owner").agg(F.sum("w2").alias("all"))
+    head = before.join(total, "_owner").filter(F.col("all") - F.col("cum_w2") + F.col("w2") >= least * least - 1e-9).select("_owner", "term")
+    pairs = co_occurrence(head, ["term"], "_owner").select("a", "b")
+    dot = pairs.join(vectors.select(F.col("_owner").alias("a"), "term", F.col("w").alias("wa")), "a").join(vectors.select(F.col("_owner").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
+    dot = dot.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.col("cosine") >= least)
     return dot.select(*[F.col(f"a.{c}").alias(f"{c}1") for c in owner], *[F.col(f"b.{c}").alias(f"{c}2") for c in owner], F.round("cosine", 6).alias("cosine"))
 
 

@@ -44,11 +44,12 @@ def co_occurrence(index: DataFrame, item: list[str], owner: str) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("overlap"))
 
 
-def similarities(values: DataFrame, written: bool = False) -> DataFrame:
+def similarities(values: DataFrame, written: bool = False, sizes_of: DataFrame | None = None) -> DataFrame:
     """One row per pair of columns of different tables that share a value: names, sizes, overlap, jaccard, containment.
-    The index is written to the shared folder (unless it is `written` already), as sizes and overlaps both read it."""
+    The index is written to the shared folder (unless it is `written` already), as sizes and overlaps both read it.
+    sizes_of: the whole index, where values are a part of it."""
     values = values if written else materialize(values, "values")
-    sizes = values.groupBy("nid").agg(F.first("source").alias("source"), F.first("column_name").alias("column_name"), F.count("*").alias("n"), F.sum("cnt").alias("filled"), F.max("cnt").alias("most"))
+    sizes = (values if sizes_of is None else sizes_of).groupBy("nid").agg(F.first("source").alias("source"), F.first("column_name").alias("column_name"), F.count("*").alias("n"), F.sum("cnt").alias("filled"), F.max("cnt").alias("most"))
     side = lambda s: sizes.select(*[F.col(c).alias(f"{c}{s}") for c in sizes.columns])
     pairs = co_occurrence(values.select("nid", "value"), ["value"], "nid")
     both = pairs.join(side("1"), F.col("a") == F.col("nid1")).join(side("2"), F.col("b") == F.col("nid2")).filter("source1 <> source2")

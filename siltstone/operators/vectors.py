@@ -6,8 +6,9 @@ and a query's blocks are merged by a second top-k. The queries are a stated set,
 work for queries x rows, but what is shuffled is a block once per block of queries.
 
 Buckets: random hyperplanes give each vector a key in each of several tables; a query also
-looks into the buckets that differ in one bit. Rows are indexed all; candidates that share
-a bucket are compared exactly. A hot bucket is dealt over `salts` parts.
+looks into the buckets that differ in one bit. Rows are indexed all. Only keys are shuffled
+into buckets; distinct candidates then fetch the vectors, and distances are exact. A hot
+bucket is dealt over `salts` parts.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def hyperplanes(dims: int, bits: int, tables: int, seed: int = 3) -> np.ndarray:
 
 
 def binary_keys(rows: DataFrame, key: str, vector: str, planes: np.ndarray, probe: bool) -> DataFrame:
-    """key, v, table, bucket: signs of projections; with probe also the buckets one bit away."""
+    """key, table, bucket: signs of projections; with probe also the buckets one bit away. Vectors stay where they are."""
     tables, bits, _ = planes.shape
     shared = planes  # bits x dims numbers for each table
     weights = 1 << np.arange(bits, dtype=np.int64)
@@ -95,12 +96,15 @@ def binary_keys(rows: DataFrame, key: str, vector: str, planes: np.ndarray, prob
             own = sign @ weights
             for t in range(tables):
                 buckets = own[:, t : t + 1] ^ np.concatenate([[0], weights])[None, :] if probe else own[:, t : t + 1]
-                n = buckets.shape[1]
-                at = np.repeat(np.arange(len(v)), n)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.full(len(at), t, np.int32)), pa.array(buckets.reshape(-1))], names=["key", "v", "table", "bucket"])
+                at = np.repeat(np.arange(len(v)), buckets.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.full(len(at), t, np.int32)), pa.array(buckets.reshape(-1))], names=["key", "table", "bucket"])
 
-    own = rows.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    return own.mapInArrow(run, "key long, v array<double>, table int, bucket long")
+    return _filled(rows, key, vector).mapInArrow(run, "key long, table int, bucket long")
+
+
+def _filled(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, v, without null and empty vectors."""
+    return rows.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
 
 
 def discretized_keys(rows: DataFrame, key: str, vector: str, planes: np.ndarray, width: float) -> DataFrame:
@@ -136,27 +140,27 @@ def nearest_by_buckets(rows: DataFrame, queries: DataFrame, key: str, vector: st
     planes = hyperplanes(first.n if first else 1, max(2, round(math.log2(max(4, rows.count() / per_bucket)))), tables, seed)
     x = binary_keys(rows, key, vector, planes, False).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
     q = binary_keys(queries, key, vector, planes, True).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    met = q.withColumnRenamed("key", "query").join(x, ["table", "bucket", "salt"]).filter("query <> key").select("query", "key").distinct()
+    both = met.join(_filled(rows, key, vector), "key").join(_filled(queries, key, vector).select(F.col("key").alias("query"), F.col("v").alias("w")), "query").select("query", "key", "v", "w")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v, w = (np.asarray(c.flatten()).reshape(b.num_rows, -1) for c in (b.column(2), b.column(3)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(paired(w, v, metric), digits) + 0.0)], names=["query", "neighbor", "distance"])
+
+    return _top(both.mapInArrow(measure, "query long, neighbor long, distance double"), k)
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            qids, ids = (t.column("key").to_numpy() for t in (left, right))
-            qv, xv = (np.array(t.column("v").to_pylist(), float) for t in (left, right))
-            for s in range(0, len(qids), 256):
-                d = np.round(distances(qv[s : s + 256], xv, metric), digits) + 0.0
-                d[qids[s : s + 256, None] == ids[None, :]] = np.inf
-                for row, of in zip(d, qids[s : s + 256]):
-                    best = np.lexsort((ids, row))[:k]
-                    best = best[np.isfinite(row[best])]
-                    out[0].append(np.full(len(best), of))
-                    out[1].append(ids[best])
-                    out[2].append(row[best])
-        cat = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query": pa.array(cat[0].astype(np.int64)), "neighbor": pa.array(cat[1].astype(np.int64)), "distance": pa.array(cat[2].astype(float))})
-
-    keys = ["table", "bucket", "salt"]
-    found = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(search, "query long, neighbor long, distance double")
-    return _top(found.distinct(), k)
+
+def paired(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """The distance of each row of q from the same row of x."""
+    if metric == "cosine":
+        return 1 - (q * x).sum(axis=1) / np.maximum(np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1), 1e-300)
+    if metric == "euclidean":
+        return np.linalg.norm(q - x, axis=1)
+    if metric == "manhattan":
+        return np.abs(q - x).sum(axis=1)
+    raise ValueError(f"{metric}: one of {METRICS}")
 
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

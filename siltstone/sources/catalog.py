@@ -51,14 +51,15 @@ def parquet_tables(spark: SparkSession, folder: str, names: list[str]) -> Catalo
     return Catalog({n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
 
 
-def csv_relation(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None) -> DataFrame:
+def csv_relation(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
     """A file with a header as strings; rows whose number of cells differs from the header's are dropped."""
-    return csv_with_rejects(spark, path, sep, schema)[0]
+    return csv_with_rejects(spark, path, sep, schema, multiline)[0]
 
 
-def csv_with_rejects(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
-    """The well-formed rows, and the raw text of the others."""
-    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": True}
+def csv_with_rejects(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The well-formed rows, and the raw text of the others. Files whose quoted cells hold no newlines can be read with
+    multiline=False, which splits a large file over tasks."""
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multiline}
     known = schema or spark.read.options(**options).csv(path).schema
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in known.fields])
     marked = T.StructType([*text.fields, T.StructField("_malformed", T.StringType())])
@@ -81,7 +82,7 @@ def csv_folder(spark: SparkSession, config: dict) -> Catalog:
     """Every file of a folder is a relation, named without its extension."""
     out = Catalog(db=config.get("db", "lake"))
     for name, path in _list_files(spark, config["path"]):
-        out.add(name.removesuffix(".csv"), csv_relation(spark, path, config.get("separator", ",")))
+        out.add(name.removesuffix(".csv"), csv_relation(spark, path, config.get("separator", ","), multiline=config.get("multiline", True)))
     return out
 
 
