@@ -11,6 +11,7 @@ a changed table holds.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Sequence
@@ -26,6 +27,15 @@ from siltstone.sources.catalog import Catalog
 FORMAT = 1
 
 
+def state_of(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A digest of the files below the paths: it changes when one is written anew."""
+    seen = []
+    for p in paths:
+        fs, path = _files(spark, p)
+        seen += sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(path)) if fs.exists(path) else [p]
+    return hashlib.md5("\n".join(seen).encode()).hexdigest()
+
+
 def _files(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
@@ -111,9 +121,8 @@ def _store(df: DataFrame, folder: str, name: str) -> str:
 
 def _pairs_of(index: DataFrame, changed: Sequence[str], old: DataFrame | None) -> DataFrame:
     """Pairs of which a changed table has a side are counted over its values; the other pairs stay."""
-    fresh = values.similarities(index, written=True)
     if old is None:
-        return fresh
+        return values.similarities(index, written=True)
     mine = F.col("source").isin(list(changed))
     touched = index.join(index.filter(mine).select("value").distinct(), "value", "left_semi")
     fresh = values.similarities(touched, written=True, sizes_of=index)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import cells
-from siltstone.operators import drift, profiling, relations, sketches, textsearch
+from siltstone.operators import drift, profiling, relations, sketches, store, textsearch
 from siltstone.operators import values as vx
 from siltstone.plans import oracle as o
-from siltstone.sources.catalog import Catalog, parquet_tables
+from siltstone.plans.shared import shared_dir
+from siltstone.sources.catalog import Catalog, csv_with_rejects, parquet_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,8 +25,24 @@ def lake(spark: SparkSession, folder: str) -> Catalog:
     return parquet_tables(spark, folder, o.TABLES)
 
 
+def stored(spark: SparkSession, folder: str) -> store.Index:
+    """The lake's index, built when a query first asks for it and read by all later ones of the application, unless a
+    file of the lake has changed since."""
+    state = store.state_of(spark, [f"{folder}/{t}.parquet" for t in o.TABLES])
+    place = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/index-{state}"
+    try:
+        return store.open_index(spark, place)
+    except LookupError:
+        return store.build(lake(spark, folder), place, with_profiles=False)
+
+
 def index(spark: SparkSession, folder: str, keep=None) -> DataFrame:
-    return vx.column_values(lake(spark, folder), keep)
+    values = stored(spark, folder).values
+    return values if keep is None else values.filter(F.col("nid").isin([a.nid for a in lake(spark, folder).attributes() if keep(a)]))
+
+
+def column_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder).pairs
 
 
 def is_text(a) -> bool:
@@ -276,33 +295,33 @@ def pair_columns(*more: str) -> list:
 
 @query("joinable_columns", o.similar(f"SELECT {PAIRS}, overlap, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment FROM sim WHERE jaccard >= 0.7"))
 def joinable_columns(spark, folder):
-    pairs = relations.content_similar(vx.similarities(index(spark, folder)), 0.7)
+    pairs = relations.content_similar(column_pairs(spark, folder), 0.7)
     return pairs.select(*pair_columns("overlap"), r("jaccard"), r("containment"))
 
 
 @query("jaccard_pairs", o.similar(f"SELECT {PAIRS}, overlap, n1, n2, round(jaccard, 6) AS jaccard FROM sim"))
 def jaccard_pairs(spark, folder):
-    return vx.similarities(index(spark, folder)).select(*pair_columns("overlap", "n1", "n2"), r("jaccard"))
+    return column_pairs(spark, folder).select(*pair_columns("overlap", "n1", "n2"), r("jaccard"))
 
 
 @query("containment_pairs", o.similar(f"SELECT {PAIRS}, overlap, round(containment, 6) AS containment FROM sim WHERE containment >= 0.7"))
 def containment_pairs(spark, folder):
-    return relations.contained(vx.similarities(index(spark, folder)), 0.7).select(*pair_columns("overlap"), r("containment"))
+    return relations.contained(column_pairs(spark, folder), 0.7).select(*pair_columns("overlap"), r("containment"))
 
 
 @query("overlapping_columns", o.similar(f"SELECT {PAIRS}, overlap FROM sim WHERE overlap > 0.4 * (n1 + n2)"))
 def overlapping_columns(spark, folder):
-    return vx.similarities(index(spark, folder)).filter("overlap > 0.4D * (n1 + n2)").select(*pair_columns("overlap"))
+    return column_pairs(spark, folder).filter("overlap > 0.4D * (n1 + n2)").select(*pair_columns("overlap"))
 
 
 @query("join_cardinality", o.similar(f"SELECT {PAIRS}, CASE WHEN most1 = 1 THEN '1' ELSE 'N' END || '-' || CASE WHEN most2 = 1 THEN '1' ELSE 'N' END AS join_card FROM sim WHERE jaccard >= 0.7"))
 def join_cardinality(spark, folder):
-    return relations.join_cardinality(relations.content_similar(vx.similarities(index(spark, folder)), 0.7)).select(*pair_columns("join_card"))
+    return relations.join_cardinality(relations.content_similar(column_pairs(spark, folder), 0.7)).select(*pair_columns("join_card"))
 
 
 @query("inclusion_deps", o.similar(f"SELECT {PAIRS}, overlap FROM dir WHERE overlap = n1"))
 def inclusion_deps(spark, folder):
-    return relations.inclusions(vx.similarities(index(spark, folder))).select(*pair_columns("overlap"))
+    return relations.inclusions(column_pairs(spark, folder)).select(*pair_columns("overlap"))
 
 
 _TEXT_NAMES = [f"{t}.{c}" for t, c, k in o.columns() if k not in o.NUMERIC]
@@ -312,7 +331,7 @@ PKFK_SQL = f"SELECT {PAIRS}, greatest(n1 / filled1, n2 / filled2) AS weight FROM
 
 def pkfk(spark, folder) -> DataFrame:
     numeric = lambda k: ~F.concat_ws(".", f"source{k}", f"column_name{k}").isin(_TEXT_NAMES)
-    return relations.keys(vx.similarities(index(spark, folder)), 0.5, 0.7, numeric(1) & numeric(2))
+    return relations.keys(column_pairs(spark, folder), 0.5, 0.7, numeric(1) & numeric(2))
 
 
 @query("pkfk_edges", o.similar(f"SELECT {PAIRS}, round(weight, 6) AS weight FROM ({PKFK_SQL})"))
@@ -397,6 +416,42 @@ def minhash_jaccard(spark, folder):
     return sketches.similar_columns(sig, sketches.band_candidates(sig, bands, rows), 0.5)
 
 
+@query("lsh_recall", o.similar("SELECT count(*) AS n_true, true AS recall_90 FROM sim WHERE jaccard >= 0.7"))
+def lsh_recall(spark, folder):
+    """Of the pairs of columns with an exact Jaccard similarity of 0.7 or more (of their values), how many banding meets."""
+    named = lambda df: df.select(F.array_sort(F.array(F.concat_ws(".", "source1", "column_name1"), F.concat_ws(".", "source2", "column_name2"))).alias("pair"))
+    true = named(relations.content_similar(column_pairs(spark, folder), 0.7))
+    met = true.join(named(lsh_candidates(spark, folder)), "pair", "left_semi")
+    n = true.agg(F.count("*").alias("n_true")).crossJoin(F.broadcast(met.agg(F.count("*").alias("n_met"))))  # one row each
+    return n.select("n_true", (F.col("n_met") >= F.col("n_true") * 0.9).alias("recall_90"))
+
+
+_SOME = ("region", "nation", "supplier", "customer")
+
+
+@query("index_refresh", o.similar(f"SELECT {PAIRS}, overlap, n1, n2 FROM sim WHERE source1 IN {_SOME} AND source2 IN {_SOME}"))
+def index_refresh(spark, folder):
+    """An index whose customers are a part of them and whose suppliers are missing, after both tables are refreshed."""
+    whole = lake(spark, folder).tables
+    place = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/refreshed-{uuid.uuid4().hex}"
+    store.build(Catalog({"region": whole["region"], "nation": whole["nation"], "customer": whole["customer"].filter("c_custkey % 3 = 0")}), place, with_profiles=False)
+    return store.refresh(Catalog({t: whole[t] for t in _SOME}), place, ["supplier", "customer"]).pairs.select(*pair_columns("overlap", "n1", "n2"))
+
+
+@query("csv_rejects", "SELECT count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0) AS n_rows, count(*) FILTER (o_orderkey % 7 = 0 OR o_orderkey % 11 = 0) AS n_malformed, sum(o_orderkey) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0)::BIGINT AS keys FROM orders")
+def csv_rejects(spark, folder):
+    """Orders written as CSV lines, some with a cell too many or too few, and read back by the reader."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    line = F.when(F.col("o_orderkey") % 7 == 0, F.concat(key, F.lit(',"a, b",c,d'))).when(F.col("o_orderkey") % 11 == 0, key).otherwise(F.concat(key, F.lit(',"a, ""b""",c')))
+    place = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
+    orders.select(line.alias("value")).write.text(place)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("key", "text", "rest")])
+    good, bad = csv_with_rejects(spark, place, schema=schema, multiline=False, header=False)
+    n = good.agg(F.count("*").alias("n_rows"), F.sum(F.col("key").cast("long")).alias("keys")).crossJoin(F.broadcast(bad.agg(F.count("*").alias("n_malformed"))))  # one row each
+    return n.select("n_rows", "n_malformed", "keys")
+
+
 def _half(spark, folder, late: bool) -> Catalog:
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     when = F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")

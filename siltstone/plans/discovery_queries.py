@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import components, examples, fourc, graph, notes, ontology, questions, relations, results, synthesis, textsearch, vectors
-from siltstone.operators import values as vx
 from siltstone.plans import oracle as o
-from siltstone.plans.column_queries import NAMES, ORACLES, PAIRS, PKFK_SQL, QUERIES, index, is_text, lake, pkfk, profiles, query, r  # noqa: F401
+from siltstone.plans.column_queries import NAMES, ORACLES, PAIRS, PKFK_SQL, QUERIES, column_pairs, index, is_text, lake, pkfk, profiles, query, r  # noqa: F401
 from siltstone.plans.shared import materialize
 
 
-def content_edges(spark, folder, values: DataFrame | None = None) -> DataFrame:
-    pairs = vx.similarities(index(spark, folder)) if values is None else vx.similarities(values, written=True)
-    found = relations.content_similar(pairs, 0.7)
-    return materialize(relations.as_edges(found, relations.CONTENT_SIM, "jaccard"), "content-edges")
+def content_edges(spark, folder) -> DataFrame:
+    return relations.as_edges(relations.content_similar(column_pairs(spark, folder), 0.7), relations.CONTENT_SIM, "jaccard")
 
 
 def nodes(spark, *names: str) -> DataFrame:
@@ -162,8 +159,7 @@ def rs_tables(spark, folder):
 
 def _expanded(spark, folder) -> results.ResultSet:
     """Columns named like custkey and their neighbours."""
-    v = materialize(index(spark, folder), "values")
-    edges = content_edges(spark, folder, v)
+    v, edges = index(spark, folder), content_edges(spark, folder)
     found = materialize(textsearch.search(v, "custkey", textsearch.SCHEMA, limit=None), "hits")
     base = results.from_search(found, "custkey")
     return base.union(base.neighbors(edges, relations.CONTENT_SIM))
@@ -177,7 +173,7 @@ nb AS (SELECT e.dst AS node, max(weight) AS score FROM base JOIN e ON e.src = ba
 hits AS (SELECT node, split_part(node, '.', 1) AS source, max(score) AS score FROM (SELECT node, score FROM base UNION ALL SELECT node, score FROM nb) GROUP BY node),
 lin AS (SELECT '?custkey' AS src, node AS dst, 'KW_LOOKUP' AS op FROM base UNION SELECT e.src, e.dst, e.relation FROM base JOIN e ON e.src = base.node WHERE split_part(e.src, '.', 1) <> split_part(e.dst, '.', 1)),
 lp AS (SELECT '?custkey' AS origin, '?custkey' AS node, ['?custkey'] AS path, []::VARCHAR[] AS ops
-  UNION ALL SELECT origin, lin.dst, list_append(path, lin.dst), list_append(ops, op) FROM lp JOIN lin ON lin.src = lp.node WHERE NOT list_contains(path, lin.dst) AND len(ops) < 6)
+  UNION ALL SELECT origin, lin.dst, list_append(path, lin.dst), list_append(ops, op) FROM lp JOIN lin ON lin.src = lp.node WHERE NOT list_contains(path, lin.dst) AND len(ops) < 12)
 {body}""", True)
 
 
@@ -229,6 +225,19 @@ def qbe_fuzzy_candidates(spark, folder):
     return examples.candidate_columns(index(spark, folder, is_text), [examples.Example("", ("EUROP", "ASI"))], fuzzy=True)
 
 
+_FALL = "ex(position, example) AS (VALUES (0, 'asia'), (0, 'europ'), (1, 'buildin'))"
+
+
+@query("qbe_fallback", f"""WITH {o.vals()}, {_FALL},
+near AS (SELECT position, example, source, column_name, cnt, levenshtein(value, example) AS d FROM ex JOIN vals ON levenshtein(value, example) <= CASE WHEN len(example) < 3 THEN 0 WHEN len(example) < 6 THEN 1 ELSE 2 END),
+per AS (SELECT position, example, source, column_name, sum(cnt) FILTER (d = 0) AS same FROM near GROUP BY ALL),
+best AS (SELECT *, max(same) OVER (PARTITION BY position, example) AS exact FROM per)
+SELECT position, example, source, column_name, CASE WHEN exact IS NULL THEN 'FUZZY' ELSE 'EXACT' END AS hit FROM best WHERE exact IS NULL OR same IS NOT NULL""")
+def qbe_fallback(spark, folder):
+    """An example that a column holds, and two that none does but nearly."""
+    return examples.candidates_or_fuzzy(index(spark, folder, is_text), [examples.Example("", ("ASIA", "EUROP")), examples.Example("", ("BUILDIN",))])
+
+
 @query("qbe_clusters")
 def qbe_clusters(spark, folder):
     found = examples.candidate_columns(index(spark, folder), [examples.Example("nationkey", ("3", "7"))])
@@ -242,8 +251,7 @@ def qbe_groups(spark, folder):
 
 
 def _first_view(spark, folder, spec) -> DataFrame:
-    v = materialize(index(spark, folder), "values")
-    for _, _, view in examples.views(lake(spark, folder), v, content_edges(spark, folder, v), spec):
+    for _, _, view in examples.views(lake(spark, folder), index(spark, folder), content_edges(spark, folder), spec):
         return view
     raise LookupError("no view fits the examples")
 
@@ -398,9 +406,12 @@ def views_compatible(spark, folder):
     return fourc.compatible(fourc.row_pairs(fourc.layout(customer_views(spark, folder))))
 
 
-@query("view_fingerprints")
+@query("view_fingerprints", _views_sql(", same AS (SELECT view1, view2 FROM pr WHERE overlap = n1 AND n1 = n2) SELECT vn.view, n, 1 + (SELECT count(*) FROM same WHERE vn.view IN (view1, view2)) AS n_equal FROM vn"))
 def view_fingerprints(spark, folder):
-    return fourc.fingerprints(fourc.layout(customer_views(spark, folder)))
+    """The size of each view, and how many views, itself included, have its fingerprint."""
+    prints = fourc.fingerprints(fourc.layout(customer_views(spark, folder)))
+    same = prints.groupBy("schema", "n", "total", "mix").agg(F.count("*").alias("n_equal"))
+    return prints.join(same, ["schema", "n", "total", "mix"]).select("view", "n", "n_equal")
 
 
 @query("views_contained", _views_sql("SELECT CASE WHEN n1 > n2 THEN view1 ELSE view2 END AS container, CASE WHEN n1 > n2 THEN view2 ELSE view1 END AS inside FROM pr WHERE overlap = least(n1, n2) AND n1 <> n2"))
@@ -540,9 +551,10 @@ def ann_neighbors(spark, folder):
     return vectors.nearest_by_buckets(*_vectors(spark, folder), "vec_id", "embedding")
 
 
-@query("ann_lsh_recall")
+@query("ann_lsh_recall", "WITH v AS (SELECT vec_id AS id FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0) SELECT (count(*) FILTER (id % 20 = 0) * least(10, count(*) - 1))::BIGINT AS n_true, true AS recall_90 FROM v")
 def ann_lsh_recall(spark, folder):
-    return vectors.recall(knn_cosine(spark, folder), ann_neighbors(spark, folder))
+    found = vectors.recall(knn_cosine(spark, folder), ann_neighbors(spark, folder))
+    return found.select("n_true", (F.col("recall") >= 0.9).alias("recall_90"))
 
 
 # ---------------------------------------------------------------- names, classes, notes
@@ -576,6 +588,12 @@ def content_matching(spark, folder):
     return ontology.match_content(index(spark, folder), _classes(spark), 0.4)
 
 
+@query("content_matching_fuzzy", f"""WITH {o.vals()}, {_CLASSES}, k AS (SELECT DISTINCT parent_id, lower(name) AS name FROM classes WHERE parent_id IS NOT NULL), n AS (SELECT parent_id, count(*) AS n FROM k GROUP BY 1)
+SELECT source, column_name, parent_id, round(count(DISTINCT name) / any_value(n), 6) AS share FROM vals JOIN k ON levenshtein(value, name) <= 0.4 * greatest(len(value), len(name)) + 1e-9 JOIN n USING (parent_id) GROUP BY ALL HAVING round(count(DISTINCT name) / any_value(n), 6) >= 0.1""")
+def content_matching_fuzzy(spark, folder):
+    return ontology.match_content_fuzzy(index(spark, folder), _classes(spark), 0.1, 0.6)
+
+
 @query("class_ancestors", f"WITH RECURSIVE {_CLASSES}, {_CLOSURE} SELECT * FROM cl")
 def class_ancestors(spark, folder):
     return ontology.ancestors(_classes(spark))
@@ -602,16 +620,14 @@ def annotation_search(spark, folder):
     return table.join(notes.search_notes(table, comments, "scope"), "id", "left_semi").select("text")
 
 
+@query("metadata_search", "WITH " + o.search_terms("codes negative", "SELECT source, column_name, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM (VALUES ('customer', 'c_acctbal', 'Balances may be negative'), ('customer', 'c_nationkey', 'Same codes as the nation table'), ('supplier', 's_suppkey', 'Are suppliers customers too?')) t(source, column_name, text)", "source, column_name") + " SELECT source, column_name, round(score, 5) AS score FROM found")
+def metadata_search(spark, folder):
+    """The words of notes on columns, searched like the columns' own."""
+    table = notes.annotate(notes.empty(spark)[0], NOTES)
+    labels = table.select(F.substring_index("source_node", ".", 1).alias("source"), F.substring_index("source_node", ".", -1).alias("column_name"), "text")
+    return textsearch.search(index(spark, folder), "codes negative", textsearch.METADATA, limit=None, labels=labels).select("source", "column_name", r("score", 5))
+
+
 @query("annotation_relations", "SELECT * FROM (VALUES ('customer.c_custkey', 'SUPERCLASS', 'supplier.s_suppkey'), ('supplier.s_suppkey', 'SUBCLASS', 'customer.c_custkey'), ('customer.c_nationkey', 'MEANS_SAME', 'nation.n_nationkey'), ('nation.n_nationkey', 'MEANS_SAME', 'customer.c_nationkey')) t(src, relation, dst)")
 def annotation_relations(spark, folder):
     return notes.relation_edges(notes.annotate(notes.empty(spark)[0], NOTES)).select("src", "relation", "dst")
-
-
-@query("malformed_rows", """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
-SELECT doc_id, len(lines)::INT AS n_lines, len(list_filter(lines, lambda x: len(string_split(x, ',')) <> len(string_split(lines[1], ','))))::INT AS n_malformed FROM l""")
-def malformed_rows(spark, folder):
-    """Each document read as comma-separated lines under its first line as header: lines of another arity."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    arity = lambda x: F.size(F.split(x, ",", -1))
-    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", lines.alias("lines"))
-    return docs.select("doc_id", F.size("lines").alias("n_lines"), F.size(F.filter("lines", lambda x: arity(x) != arity(F.col("lines")[0]))).alias("n_malformed"))

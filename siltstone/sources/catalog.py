@@ -56,10 +56,10 @@ def csv_relation(spark: SparkSession, path: str, sep: str = ",", schema: T.Struc
     return csv_with_rejects(spark, path, sep, schema, multiline)[0]
 
 
-def csv_with_rejects(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+def csv_with_rejects(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | None = None, multiline: bool = True, header: bool = True) -> tuple[DataFrame, DataFrame]:
     """The well-formed rows, and the raw text of the others. Files whose quoted cells hold no newlines can be read with
     multiline=False, which splits a large file over tasks."""
-    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multiline}
+    options = {"header": header, "sep": sep, "quote": '"', "escape": '"', "multiLine": multiline}
     known = schema or spark.read.options(**options).csv(path).schema
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in known.fields])
     marked = T.StructType([*text.fields, T.StructField("_malformed", T.StringType())])
