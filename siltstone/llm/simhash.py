@@ -11,8 +11,11 @@ most `radius` bits; components of links are groups.
    can link to an inside one only if d(x, v) <= m + radius, so only those are copied inside
    as well. Every linked pair then meets in a shard. A tree is fitted on a bounded sample
    (`sample` fingerprints and an eighth of all at most, in expectation, chosen by hash);
-   every fingerprint is routed. Shards of more than twice `shard_size` get a tree of their
-   own, level by level, until none is left but those that no vantage point splits.
+   every fingerprint is routed. A node is split while the sample says that it holds over
+   1.6 times `shard_size`, so a tree has no level that its shards do not need: each level
+   copies about a fifth of the rows. Shards that still exceed twice `shard_size`, for which
+   the sample was too small, get a tree of their own, until none is left but those that no
+   vantage point splits.
 3. Each shard builds its own tree to small leaves and compares pairs there. It returns one
    row per linked fingerprint with the least fingerprint of its class, never pairs. A large
    shard that nothing splits is a ball of few bits; its fingerprints are dealt over tasks
@@ -93,11 +96,12 @@ class Node:
         self.shard = shard
 
 
-def fit_tree(sample: np.ndarray, depth: int, radius: int, seed: int = 7) -> tuple[Node, int]:
+def fit_tree(sample: np.ndarray, most: float, radius: int, seed: int = 7) -> tuple[Node, int]:
+    """A tree whose leaves hold `most` points of the sample at most, where vantage points split it, and their number."""
     rng, shards = np.random.default_rng(seed), itertools.count()
 
-    def build(x: np.ndarray, depth: int) -> Node:
-        if depth == 0 or len(x) < 32:
+    def build(x: np.ndarray) -> Node:
+        if len(x) <= most:
             return Node(next(shards))
         best = None
         for vp in rng.choice(x, min(8, len(x)), replace=False):
@@ -108,14 +112,15 @@ def fit_tree(sample: np.ndarray, depth: int, radius: int, seed: int = 7) -> tupl
                 if best is None or cost < best[0]:
                     best = cost, vp, mu, d
         _, vp, mu, d = best
-        if not 0 < (d <= mu).sum() < len(x):
+        inside, outside = x[d <= mu + radius], x[d > mu]
+        if max(len(inside), len(outside)) > 0.9 * len(x):  # a ball
             return Node(next(shards))
         node = Node()
         node.vp, node.mu = vp, mu
-        node.inside, node.outside = build(x[d <= mu + radius], depth - 1), build(x[d > mu], depth - 1)
+        node.inside, node.outside = build(inside), build(outside)
         return node
 
-    root = build(sample, depth)
+    root = build(sample)
     return root, next(shards)
 
 
@@ -202,12 +207,16 @@ def _dense(y: np.ndarray, at: np.ndarray, radius: int, labels: Labels) -> None:
 
 def _trees(crowd: DataFrame, sizes: dict[int, int], radius: int, shard_size: int, sample: int) -> dict[int, tuple[Node, int]]:
     """crowd: shard, fp -> a tree and its number of leaves for each shard; each is fitted in a task on a sample of its shard."""
-    rates = crowd.sparkSession.createDataFrame([(s, min(1 / 8, sample / n), max(1, math.ceil(math.log2(n / shard_size)))) for s, n in sizes.items()], "shard long, rate double, depth int")
+    rows = []
+    for shard, n in sizes.items():
+        rate = min(1 / 8, sample / n)
+        rows.append((shard, rate, max(32.0, 1.6 * shard_size * rate)))  # below 32 points a sample says too little
+    rates = crowd.sparkSession.createDataFrame(rows, "shard long, rate double, most double")
     chosen = crowd.join(F.broadcast(rates), "shard").filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.col("rate") * F.lit(1 << 20))  # shards of over 2 * shard_size
 
     def fit(table: pa.Table) -> pa.Table:
         points = np.sort(table.column("fp").to_numpy().view(np.uint64))
-        tree = fit_tree(points, table.column("depth")[0].as_py(), radius)
+        tree = fit_tree(points, table.column("most")[0].as_py(), radius)
         return pa.table({"shard": table.column("shard")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     made = chosen.groupBy("shard").applyInArrow(fit, "shard long, tree binary").collect()  # a node for each 32 sampled fingerprints
