@@ -208,3 +208,20 @@ def inconsistent_cells(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     both = single(one).alias("a").join(single(two).alias("b"), key)
     counts = both.agg(*[F.count_if(F.col(f"a.{c}") != F.col(f"b.{c}")).alias(c) for c in rest])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in rest])))
+
+
+def differing_cells(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key, column, one, two: the cells to highlight when two views are laid side by side, at key values held once on both."""
+    one, two = curated(a), curated(b)
+    rest = [c for c in one.columns if c != key and c in two.columns]
+    single = lambda v: v.groupBy(key).agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in rest]).filter("n = 1").drop("n")
+    both = single(one).alias("a").join(single(two).alias("b"), key)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a.`{c}`").alias("one"), F.col(f"b.`{c}`").alias("two")) for c in rest])
+    return both.select(F.col(key).alias("key"), F.inline(pairs)).filter("one <> two")
+
+
+def repeated_projections(projections: Mapping[str, DataFrame]) -> DataFrame:
+    """projection, same_as: those with the rows of one earlier in order of name, so that a join path through them brings
+    nothing new. Projections are compared by fingerprints of their rows: one row per projection is shuffled."""
+    prints = fingerprints(layout(projections)).groupBy("schema", "n", "total", "mix").agg(F.sort_array(F.collect_list("view")).alias("same"))
+    return prints.select(F.explode(F.slice("same", 2, F.size("same"))).alias("projection"), F.col("same")[0].alias("same_as"))

@@ -92,6 +92,19 @@ def shortest_paths(edges: DataFrame, start: str, target: str, most_hops: int | N
     return paths.select("path", (F.size("path") - 1).alias("hops"))
 
 
+def count_walks(edges: DataFrame, start: str, target: str, most_hops: int = 5) -> DataFrame:
+    """hops, n_walks: how many walks of each length lead from start to target. Counts are added up node by node, so
+    the walks themselves are never made."""
+    pairs = materialize(edges.select("src", "dst"), "graph-edges")
+    at = pairs.sparkSession.createDataFrame([(start, 1)], "node string, n_walks long")
+    levels = []
+    for hops in range(1, most_hops + 1):
+        step = pairs.join(at, pairs["src"] == at["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("n_walks").alias("n_walks"))
+        at = materialize(step, "graph-walks")
+        levels.append(at.filter(F.col("node") == target).select(F.lit(hops).alias("hops"), "n_walks"))
+    return reduce(DataFrame.union, levels)
+
+
 def traverse(edges: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
     """nodes: node -> node, hops (least) of everything reached within `hops`, the start included at 0."""
     pairs = materialize(edges.select("src", "dst").distinct(), "graph-edges")

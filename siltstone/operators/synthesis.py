@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from math import log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +40,39 @@ def equi_join(a: DataFrame, b: DataFrame, left: str, right: str, suffix: str = "
     return a.join(b, key(a, left) == key(b, right))
 
 
+def fold_tree(tables: Mapping[str, DataFrame], hops: Sequence[tuple[tuple[str, str], tuple[str, str]]], suffix: str = "_x") -> DataFrame:
+    """The join of a tree of tables, given by pairs of (table, column): the first table is the root, and each subtree is
+    folded before its parent takes it in. Each join's suffix for clashing names is longer than the one before."""
+    parents: dict[str, list[tuple[str, str, str]]] = {hops[0][0][0]: []}
+    pending = list(hops)
+    while pending:
+        later = []
+        for left, right in pending:
+            known, new = (left, right) if left[0] in parents else (right, left)
+            if known[0] not in parents:
+                later.append((left, right))
+            elif new[0] in parents:
+                raise ValueError(f"a tree reaches {new[0]} once")
+            else:
+                parents[known[0]].append((known[1], *new))
+                parents[new[0]] = []
+        if len(later) == len(pending):
+            raise ValueError(f"no path from {hops[0][0][0]} to {later[0][0][0]}")
+        pending = later
+    grown = 0
+
+    def fold(table: str) -> DataFrame:
+        nonlocal grown
+        out = tables[table]
+        for own, child, column in parents[table]:
+            below = fold(child)
+            grown += 1
+            out = equi_join(out, below, own, column, suffix * grown)
+        return out
+
+    return fold(hops[0][0][0])
+
+
 def join_size(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
     """n_rows: how many rows the join would have, without making them."""
     n = lambda t, c, k: t.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("key")).agg(F.count("*").alias(f"n{k}"))

@@ -54,6 +54,11 @@ def paths_level(spark, folder):
     return graph.level_paths(content_edges(spark, folder), "customer.c_custkey", 3).select("node", joined("path"), "hops")
 
 
+@query("count_walks", o.graph(", w AS (SELECT dst AS node, 1 AS hops FROM e WHERE src = 'orders.o_custkey' UNION ALL SELECT e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 3) SELECT hops, count(*)::BIGINT AS n_walks FROM w WHERE node = 'customer.c_custkey' GROUP BY 1", True))
+def count_walks(spark, folder):
+    return graph.count_walks(content_edges(spark, folder), "orders.o_custkey", "customer.c_custkey", 3)
+
+
 @query("paths_simple", o.graph(_level_sql("orders.o_custkey", 3, True) + " SELECT array_to_string(path, '>') AS path, hops FROM p WHERE node = 'part.p_partkey'", True))
 def paths_simple(spark, folder):
     return graph.find_paths(content_edges(spark, folder), "orders.o_custkey", "part.p_partkey", 3, "simple").select(joined("path"), "hops")
@@ -280,6 +285,19 @@ def cell_filter_join(spark, folder):
     return synthesis.equi_join(synthesis.cell_filter(t["customer"], "c_mktsegment", " Building"), t["orders"], "c_custkey", "o_custkey").select("c_custkey", "o_orderkey")
 
 
+@query("fold_tree", """SELECT r_name, n_name, count(*) AS n_rows, count(DISTINCT c_custkey) AS n_customers, count(DISTINCT p_partkey) AS n_parts
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""")
+def fold_tree(spark, folder):
+    t = lake(spark, folder).tables
+    hops = [
+        (("lineitem", "l_orderkey"), ("orders", "o_orderkey")), (("nation", "n_regionkey"), ("region", "r_regionkey")), (("part", "p_partkey"), ("lineitem", "l_partkey")),
+        (("orders", "o_custkey"), ("customer", "c_custkey")), (("lineitem", "l_suppkey"), ("supplier", "s_suppkey")), (("supplier", "s_nationkey"), ("nation", "n_nationkey")),
+    ]
+    joined = synthesis.fold_tree(t, hops)
+    return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("n_rows"), F.count_distinct("c_custkey").alias("n_customers"), F.count_distinct("p_partkey").alias("n_parts"))
+
+
 @query("join_size", "SELECT count(*) AS n_rows FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def join_size(spark, folder):
     t = lake(spark, folder).tables
@@ -362,6 +380,24 @@ _COLS = ("c_custkey", "c_mktsegment", "c_name")
 _COMBOS = [("c_custkey",), ("c_mktsegment",), ("c_name",), ("c_custkey", "c_mktsegment"), ("c_custkey", "c_name"), ("c_mktsegment", "c_name")]
 
 
+_PROJECTED = [("c_mktsegment", "c_name"), ("c_name", "c_custkey")]
+
+
+def _projections_sql() -> str:
+    """Whether two projections have equal rows: by set differences in both directions."""
+    name = lambda v, c: f"{v}({','.join(c)})"
+    made = [(name(v, c), c, f"SELECT {', '.join(c)} FROM ({q})") for v, q in sorted(_VIEWS.items()) for c in _PROJECTED]
+    pairs = [
+        f"SELECT '{b}' AS projection, '{a}' AS same_as WHERE NOT EXISTS ({qa} EXCEPT {qb}) AND NOT EXISTS ({qb} EXCEPT {qa})"
+        for k, (a, ca, qa) in enumerate(made) for b, cb, qb in made[k + 1 :] if ca == cb
+    ]
+    return "SELECT projection, min(same_as) AS same_as FROM (" + " UNION ALL ".join(pairs) + ") GROUP BY 1"
+
+
+def _projections(spark, folder) -> dict[str, DataFrame]:
+    return {f"{v}({','.join(c)})": df.select(*c) for v, df in customer_views(spark, folder).items() for c in _PROJECTED}
+
+
 def customer_views(spark, folder) -> dict[str, DataFrame]:
     c = spark.read.parquet(f"{folder}/customer.parquet")
     own = c.select("c_custkey", "c_name", "c_mktsegment")
@@ -465,6 +501,18 @@ def view_key_matches(spark, folder):
     return fourc.key_matches(v["no_building"], v["no_machinery"], "c_custkey")
 
 
+@query("view_differing_cells", "SELECT c_custkey::VARCHAR AS key, 'c_mktsegment' AS \"column\", lower(c_mktsegment) AS one, 'automobile' AS two FROM customer WHERE c_nationkey = 3 AND c_mktsegment <> 'AUTOMOBILE'")
+def view_differing_cells(spark, folder):
+    v = customer_views(spark, folder)
+    return fourc.differing_cells(v["all"], v["moved"], "c_custkey")
+
+
+@query("repeated_projections", _projections_sql())
+def repeated_projections(spark, folder):
+    """Projections of the views on a target and a key, as join paths through them would use."""
+    return fourc.repeated_projections(_projections(spark, folder))
+
+
 @query("view_inconsistent_cells", "SELECT 'c_mktsegment' AS \"column\", count(*) FILTER (c_nationkey = 3 AND c_mktsegment <> 'AUTOMOBILE') AS n FROM customer UNION ALL SELECT 'c_name', 0")
 def view_inconsistent_cells(spark, folder):
     v = customer_views(spark, folder)

@@ -91,3 +91,20 @@ def test_coercion(spark):
     assert {r.node for r in rs.hits.collect()} == {"a.x", "a.y", "b.z"}
     assert results.to_result_set(spark, rs, columns) is rs and results.to_result_set(spark, [], columns).hits.count() == 0
     assert results.to_result_set(spark, "a", columns).mode == results.TABLE
+
+
+def test_walks_are_counted(spark):
+    links = [("a", "b"), ("b", "c"), ("a", "d"), ("d", "c"), ("c", "a"), ("a", "b")]
+    got = {r.hops: r.n_walks for r in graph.count_walks(spark.createDataFrame(links, "src string, dst string"), "a", "c", 5).collect()}
+    step = {("a", "b"): 2, ("b", "c"): 1, ("a", "d"): 1, ("d", "c"): 1, ("c", "a"): 1}
+    want, at = {}, {"a": 1}
+    for hops in range(1, 6):
+        ahead = {}
+        for (u, v), n in step.items():
+            if u in at:
+                ahead[v] = ahead.get(v, 0) + at[u] * n
+        at = ahead
+        if at.get("c"):
+            want[hops] = at["c"]
+    assert got == want == {2: 3, 5: 9}
+    assert graph.count_walks(spark.createDataFrame(links, "src string, dst string"), "x", "c", 2).count() == 0

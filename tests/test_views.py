@@ -202,3 +202,38 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["add-database", path, "db", "postgres", "host", "5432", "shop", "--user", "me"]) == 0
     assert [s["name"] for s in catalog.read_sources_file(path)] == ["hr", "db"]
     assert cli.main(["list", path]) == 0 and "postgres" in capsys.readouterr().out
+
+
+def test_cells_that_differ(spark, views):
+    got = {tuple(r) for r in fourc.differing_cells(views["v1"], views["v4"], "id").collect()}
+    assert got == {("2", "dept", "it", "ops")}
+    held_twice = views["v4"].union(spark.createDataFrame([(2, "bob", "hr")], "id int, name string, dept string"))
+    assert fourc.differing_cells(views["v1"], held_twice, "id").count() == 0
+    assert fourc.differing_cells(views["v1"].limit(0), views["v4"], "id").count() == 0
+
+
+def test_projections_that_repeat(spark, views):
+    one = spark.createDataFrame([(1, "HR"), (2, "it"), (2, "it"), (None, "x")], "id int, dept string")
+    two = spark.createDataFrame([("it", 2), ("hr ", 1)], "dept string, id int")
+    other = spark.createDataFrame([(1, "hr"), (2, "it")], "no int, dept string")
+    got = {tuple(r) for r in fourc.repeated_projections({"a": one, "b": two, "c": other, "d": two.limit(1), "e": one}).collect()}
+    assert got == {("b", "a"), ("e", "a")}
+
+
+def test_tree_of_tables(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "a": make([(1, 10, "p"), (2, 20, "q"), (3, None, "r")], "id int, b int, name string"),
+        "b": make([(10, 7, "x"), (20, 8, "y")], "id int, c int, name string"),
+        "c": make([(7, "z"), (7, "zz"), (9, "w")], "id int, name string"),
+        "d": make([(1, "k"), (2, "m")], "id int, name string"),
+    }
+    out = synthesis.fold_tree(tables, [(("c", "id"), ("b", "c")), (("a", "b"), ("b", "id")), (("a", "id"), ("d", "id"))])
+    assert len(set(out.columns)) == len(out.columns) == 10
+    got = sorted(tuple(r[c] for c in out.columns if c.startswith("name")) for r in out.collect())
+    assert [sorted(g) for g in got] == [["k", "p", "x", "z"], ["k", "p", "x", "zz"]]
+    assert synthesis.fold_tree(tables, [(("a", "id"), ("d", "id"))]).columns == ["id", "b", "name", "id_x", "name_x"]
+    with pytest.raises(ValueError, match="no path"):
+        synthesis.fold_tree(tables, [(("a", "b"), ("b", "id")), (("c", "id"), ("d", "id"))])
+    with pytest.raises(ValueError, match="once"):
+        synthesis.fold_tree(tables, [(("a", "b"), ("b", "id")), (("b", "id"), ("d", "id")), (("a", "id"), ("d", "id"))])
