@@ -158,6 +158,18 @@ def infer_types(catalog: Catalog) -> DataFrame:
     return _per_text_column(catalog, make, every=True).withColumn("data_type", F.when(F.col("inferred") == "STRING", "T").otherwise("N"))
 
 
+def cleanliness(catalog: Catalog) -> DataFrame:
+    """Per column: total cells, missing ones (null, blank or a word for it), untidy ones (outer or repeated white space), and
+    the share of those that are neither; columns of empty tables give no row."""
+
+    def make(text: Column) -> Column:
+        total, missing = F.count(F.lit(1)), F.count_if(cells.normal(text).isNull())
+        untidy = F.count_if(cells.normal(text).isNotNull() & (text != _squeezed(text)))
+        return F.struct(total.alias("total"), missing.alias("missing"), untidy.alias("untidy"), F.round(1 - (missing + untidy) / total, 6).alias("clean"))
+
+    return _per_text_column(catalog, make, every=True, prepare=lambda t: t)
+
+
 def cast_cells(catalog: Catalog) -> DataFrame:
     """How many cells of each column parse as numbers (commas dropped, others skipped), and their sum."""
     return _per_text_column(catalog, lambda t: F.struct(F.count(cells.number(t)).alias("n_numbers"), F.coalesce(F.sum(cells.number(t)), F.lit(0.0)).alias("sum_numbers")), every=True)

@@ -126,6 +126,14 @@ def type_inference(spark, folder):
     return profiling.infer_types(lake(spark, folder)).select("source", "column_name", "inferred", "filled", "data_type")
 
 
+CLEAN_SQL = "SELECT '{t}' AS source, '{c}' AS column_name, count(*) AS total, count(*) FILTER (" + o.norm("{x}") + " IS NULL) AS missing, count(*) FILTER (" + o.norm("{x}") + " IS NOT NULL AND {x} <> trim(regexp_replace({x}, '\\s+', ' ', 'g'))) AS untidy FROM {t}"
+
+
+@query("cleanliness", f"SELECT *, round(1 - (missing + untidy) / total, 6) AS clean FROM ({o.per_column(CLEAN_SQL)})")
+def cleanliness(spark, folder):
+    return profiling.cleanliness(lake(spark, folder)).drop("nid")
+
+
 def _semantic_sql() -> str:
     case = "\n".join(f"WHEN count(*) FILTER (regexp_matches(v, '{p}')) > 0.5 * count(v) THEN '{kind}:{g}'" for kind, g, p in cells.SEMANTIC_PATTERNS)
     one = "SELECT '{t}' AS source, '{c}' AS column_name, CASE @ ELSE 'NONE:' END AS s FROM (SELECT nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '') AS v FROM {t})"

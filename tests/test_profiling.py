@@ -29,6 +29,13 @@ def test_integers_and_numbers(spark):
     assert got["c"] == (8, pytest.approx(8 * 1234.5)) and got["s"] == (0, 0.0)
 
 
+def test_clean_cells(spark):
+    rows = [("ann", 1.5), (" bob", None), ("cat  e", 2.0), ("NaN", float("nan")), ("", 1.0), (None, 2.0), ("x y", 3.0), ("\t", 4.0)]
+    lake = Catalog({"t": spark.createDataFrame(rows, "s string, d double"), "none": spark.createDataFrame([], "s string")})
+    got = {(r.source, r.column_name): (r.total, r.missing, r.untidy, r.clean) for r in profiling.cleanliness(lake).collect()}
+    assert got == {("t", "s"): (8, 3, 3, 0.25), ("t", "d"): (8, 2, 0, 0.75)}
+
+
 def test_profile_of_awkward_columns(spark):
     rows = [(1, float("nan"), "a", [1]), (0, -2.5, " ", None), (None, None, None, [2]), (-7, float("inf"), "A", [])]
     p = {r.column_name: r for r in profiling.profile(Catalog({"t": spark.createDataFrame(rows, "n int, d double, s string, arr array<int>")})).collect()}
