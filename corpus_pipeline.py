@@ -29,7 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles with a Jaccard similarity of 0.8 or more; op7's query keeps its own contract."""
+    """SimHash and vantage-point trees at the radius of a Jaccard similarity of 0.8 on five-word shingles; op7's query keeps its own contract."""
     return similar.drop_similar(docs)
 
 
