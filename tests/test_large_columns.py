@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import cells
 from siltstone.operators import values
+from siltstone.operators.prefix import running_sums
 from siltstone.sources.catalog import Catalog
 
 NUMBERS = [0.0, -0.0, 0.1, 0.1 + 0.2, 0.3, 1e-7, -1e-7, 5e-7, 1.5e-6, 2.5e-6, -0.5, 999999999.999999, 1e9 + 0.1, 123456789012.1234567, 8.9e12, 9e12, 1e20, 1e31, 1e40, float("nan"), float("inf"), None]
@@ -56,3 +57,10 @@ def test_overlaps_are_counted_without_lists_and_sorts(spark):
     want = values.co_occurrence(index, ["value"], "nid")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "SortAggregate" not in plan_of(values.similarities(own))
+
+
+def test_running_sums_gather_no_group(spark):
+    rows = spark.createDataFrame([(k % 2, float(k), 1) for k in range(100)], "g int, x double, n long")
+    got = running_sums(rows, ["g"], "x", ["n"], ranges=8)
+    assert "SortMergeJoin" not in plan_of(got)
+    assert all(r.cum_n == r.x // 2 + 1 for r in got.collect())
