@@ -75,14 +75,13 @@ def match_content_fuzzy(values: DataFrame, classes: DataFrame, least: float = 0.
     own = own.withColumns({"from": at(F.col("chunk")), "piece": F.substring("name", at(F.col("chunk")) + 1, at(F.col("chunk") + 1) - at(F.col("chunk")))})
     probes = own.withColumn("place", F.explode(F.sequence(F.greatest(F.lit(0), F.col("from") - F.col("d")), F.col("from") + F.col("d")))).select("parent_id", "name", "piece", "place", F.length("piece").alias("wide"))
     wides = probes.select("wide").distinct()
-    names = values.select("source", "column_name", "value").distinct()
     most = classes.agg(F.max(F.length("name")).alias("longest"))
-    words = names.select("value").distinct().crossJoin(F.broadcast(most)).filter(F.length("value") * F.lit(alike) <= F.col("longest")).select("value")  # most is one row
+    words = values.select("source", "column_name", "value").crossJoin(F.broadcast(most)).filter(F.length("value") * F.lit(alike) <= F.col("longest")).drop("longest")  # most is one row
     grams = words.join(F.broadcast(wides), F.col("wide") <= F.length("value"))  # a row for each length of chunks
     grams = grams.withColumn("place", F.explode(F.sequence(F.lit(0), F.length("value") - F.col("wide")))).withColumn("piece", F.substring("value", F.col("place") + 1, F.col("wide")))
-    near = grams.join(probes.drop("wide"), ["piece", "place"]).select("value", "parent_id", "name").distinct()
-    near = near.filter(F.levenshtein("value", "name") <= (1 - alike) * F.greatest(F.length("value"), F.length("name")) + 1e-9)
-    hit = names.join(near, "value").groupBy("source", "column_name", "parent_id").agg(F.count_distinct("name").alias("k"))
+    # chunks of class names are metadata and go to all tasks; neither values nor their pieces are shuffled
+    near = grams.join(F.broadcast(probes.drop("wide")), ["piece", "place"]).filter(F.levenshtein("value", "name") <= (1 - alike) * F.greatest(F.length("value"), F.length("name")) + 1e-9)
+    hit = near.groupBy("source", "column_name", "parent_id").agg(F.count_distinct("name").alias("k"))
     return hit.join(size, "parent_id").select("source", "column_name", "parent_id", F.round(F.col("k") / F.col("n"), 6).alias("share")).filter(F.col("share") >= least)
 
 

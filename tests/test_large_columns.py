@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import cells
-from siltstone.operators import values
+from siltstone.operators import ontology, values
 from siltstone.operators.prefix import running_sums
 from siltstone.sources.catalog import Catalog
 
@@ -64,3 +64,11 @@ def test_running_sums_gather_no_group(spark):
     got = running_sums(rows, ["g"], "x", ["n"], ranges=8)
     assert "SortMergeJoin" not in plan_of(got)
     assert all(r.cum_n == r.x // 2 + 1 for r in got.collect())
+
+
+def test_pieces_of_values_are_not_shuffled(spark):
+    own = spark.createDataFrame([("t", "c", "asja"), ("t", "c", "europe"), ("t", "d", "nothing")], "source string, column_name string, value string")
+    classes = spark.createDataFrame([(1, "region", None), (2, "asia", 1), (3, "europe", 1)], "class_id int, name string, parent_id int")
+    got = ontology.match_content_fuzzy(own, classes, 0.1, 0.6)
+    assert not re.search(r"hashpartitioning\([^)]*piece#", plan_of(got))
+    assert [tuple(r) for r in got.collect()] == [("t", "c", 1, 1.0)]
